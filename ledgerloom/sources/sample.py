@@ -6,13 +6,19 @@ customers send, suppliers and even-numbered parts receive.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.config import Split
 from ledgerloom.functions.expressions import sigmoid
+from ledgerloom.functions.splits import split_label
 from ledgerloom.operators.ingest import ingest
-from ledgerloom.session import materialize
-from ledgerloom.sources.writers import write_by_day
+from ledgerloom.operators.metrics import average_precision, confusion, with_prf
+from ledgerloom.session import materialize, scratch_path
+from ledgerloom.sources.schema import REQUEST_COLUMNS
+from ledgerloom.sources.writers import day_of, write_by_day
 
 TX_COLUMNS_SQL = """
   CAST(1 + (datediff(CAST(l_shipdate AS DATE), DATE '1995-01-01') * 744) div 2500 AS INT) AS step,
@@ -34,7 +40,7 @@ TX_COLUMNS_SQL = """
         AND l_extendedprice >= o_totalprice AND l_extendedprice > 50000 THEN 1 ELSE 0 END AS isFlaggedFraud
 """
 
-_silver: dict[tuple[str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,27 +84,116 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spread(table(spark, sf_dir, "lineitem")), sf_dir)
 
 
-def silver_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingested transactions as a stored layer, written once per session and source.
+def stored(spark: SparkSession, sf_dir: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A layer written once per session and source, as a pipeline would.
 
-    Operators that scan the transactions more than once read this columnar table,
-    as a pipeline would, instead of repeating the three joins.
+    Later stages scan this columnar table instead of repeating earlier ones.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _silver:
-        _silver[key] = materialize(ingest(raw_transactions(spark, sf_dir)), "silver")
-    return _silver[key]
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    if key not in _stored:
+        _stored[key] = materialize(build(), label)
+    return _stored[key]
+
 
+def silver_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingested transactions, stored in day partitions; has the ``day`` column."""
+    key = (spark.sparkContext.applicationId, sf_dir, "silver")
+    if key not in _stored:
+        path = scratch_path(spark, "silver")
+        write_by_day(ingest(raw_transactions(spark, sf_dir)), path)
+        _stored[key] = spark.read.parquet(path)
+    return _stored[key]
 
-def silver_by_day(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
-    """The same rows laid out in day partitions at ``path``."""
-    write_by_day(silver_transactions(spark, sf_dir), path)
-    return spark.read.parquet(path)
+
+def silver_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silver_by_day(spark, sf_dir).drop("day")
 
 
-def with_scores(tx: DataFrame) -> DataFrame:
+def with_scores(tx: DataFrame, shift: float = 0.0) -> DataFrame:
     """Transactions with a logit ``z`` and probability ``p`` from a fixed formula."""
     drained = ((F.col("oldbalanceOrg") > 0) & (F.col("newbalanceOrig") == 0)).cast("int")
     risky = F.col("type").isin("TRANSFER", "CASH_OUT").cast("int")
-    logit = F.lit(-4.0) + F.lit(4.0) * drained + F.lit(1.0) * risky + F.lit(0.5) * (F.col("step") % 3)
+    logit = F.lit(-4.0 + shift) + F.lit(4.0) * drained + F.lit(1.0) * risky + F.lit(0.5) * (F.col("step") % 3)
     return tx.withColumn("z", logit).withColumn("p", sigmoid(F.col("z")))
+
+
+def metric_records(tx: DataFrame, split: Split, shift: float = 0.0) -> DataFrame:
+    """A metric record per type and split: stands in for trained runs."""
+    scored = with_scores(tx, shift).withColumn("split", split_label(split))
+    groups = ["type", "split"]
+    rates = with_prf(confusion(scored, F.col("p") >= 0.5, within=groups))
+    areas = average_precision(scored, within=groups)
+    return rates.join(areas, groups).select(
+        F.concat_ws("_", "type", "split").alias("run_name"),
+        *groups,
+        F.round("average_precision", 6).alias("auc_pr"),
+        F.round("precision", 6).alias("precision_at_0_5"),
+        F.round("recall", 6).alias("recall_at_0_5"),
+        F.round("f1", 6).alias("f1_at_0_5"),
+    )
+
+
+def scaling_records(tx: DataFrame) -> DataFrame:
+    """One record per master and last day: row counts are real, times are a formula."""
+    daily = tx.groupBy(day_of().alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+    accounts = vertex_first_days(tx).groupBy("day").agg(F.count(F.lit(1)).alias("accounts"))
+    masters = F.explode(F.array(F.lit("local[1]"), F.lit("local[2]"))).alias("master")
+    # At most one row per day and master, so the running sums are short.
+    so_far = Window.partitionBy("master").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    rows = daily.join(accounts, "day", "left").fillna(0).select("*", masters)
+    step_max = (F.col("day") + 1) * 24
+    cores = F.when(F.col("master") == "local[1]", 1).otherwise(2)
+    edges = F.sum("rows").over(so_far)
+    return rows.select(
+        F.concat(F.lit("exp_local"), cores.cast("string"), F.lit("_step"), step_max.cast("string")).alias("experiment_id"),
+        "master",
+        step_max.alias("step_max"),
+        edges.alias("subset_rows"),
+        F.sum("accounts").over(so_far).alias("vertex_count"),
+        edges.alias("edge_count"),
+        F.round(edges / (cores * 100.0), 4).alias("05_extract_graph_features_sec"),
+        F.round(edges / (cores * 50.0), 4).alias("total_runtime_sec"),
+        F.lit("SUCCESS").alias("status"),
+    )
+
+
+def vertex_first_days(tx: DataFrame) -> DataFrame:
+    ends = tx.select(F.explode(F.array("nameOrig", "nameDest")).alias("id"), day_of().alias("day"))
+    return ends.groupBy("id").agg(F.min("day").alias("day"))
+
+
+def run_logs(tx: DataFrame) -> DataFrame:
+    """A log text per sender: figures are absent or blank for some."""
+    figures = tx.groupBy(F.col("nameOrig").alias("log")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("isFraud").alias("f"), F.min("step").alias("s")
+    )
+    blank_if_zero = F.when(F.col("f") > 0, F.col("f").cast("string")).otherwise("")
+    maybe = F.when(F.col("s") % 2 == 0, F.concat(F.lit("       vertex_count = "), F.col("s").cast("string"), F.lit("\n")))
+    text = F.concat(
+        F.lit("[INFO] summary\n       total_rows           = "), F.col("n").cast("string"),
+        F.lit("\n       fraud_rows           = "), blank_if_zero, F.lit("\n"),
+        F.ifnull(maybe, F.lit("")),
+        F.lit("       edge_count="), F.col("n").cast("string"), F.lit(" later edge_count=0\n"),
+    )
+    return figures.select("log", text.alias("text"))
+
+
+def request_texts(tx: DataFrame) -> DataFrame:
+    """Requests as text cells, some of them damaged."""
+    cells = {c: F.col(c).cast("string") for c in REQUEST_COLUMNS if c != "tx_id"}
+    cells["amount"] = F.when(F.col("isFlaggedFraud") == 1, "n/a").otherwise(cells["amount"])
+    cells["step"] = F.when(F.col("nameOrig") == F.col("nameDest"), F.concat(F.lit("x"), cells["step"])).otherwise(cells["step"])
+    absent = (F.col("oldbalanceDest") == 0) & (F.col("type") == "DEBIT")
+    cells["nameDest"] = F.when(~absent, F.col("nameDest"))
+    return tx.select(F.col("txn_id").alias("tx_id"), *[v.alias(c) for c, v in cells.items()])
+
+
+def untidy(raw: DataFrame) -> DataFrame:
+    """Raw rows with padded lower-case types and some missing identifying cells."""
+    return raw.withColumns(
+        {
+            "type": F.concat(F.lit("  "), F.lower("type"), F.lit(" ")),
+            "step": F.nullif(F.col("step"), F.lit(744)),
+            "nameDest": F.nullif(F.col("nameDest"), F.col("nameOrig")),
+        }
+    )

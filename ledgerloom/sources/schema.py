@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+INT, TEXT, REAL = T.IntegerType(), T.StringType(), T.DoubleType()
+
 # The column names, order and types every table must carry.
-TRANSACTION_DDL = (
-    "step INT, type STRING, amount DOUBLE, "
-    "nameOrig STRING, oldbalanceOrg DOUBLE, newbalanceOrig DOUBLE, "
-    "nameDest STRING, oldbalanceDest DOUBLE, newbalanceDest DOUBLE, "
-    "isFraud INT, isFlaggedFraud INT"
-)
-REQUEST_DDL = (
-    "tx_id STRING, step INT, type STRING, amount DOUBLE, "
-    "nameOrig STRING, oldbalanceOrg DOUBLE, newbalanceOrig DOUBLE, "
-    "nameDest STRING, oldbalanceDest DOUBLE, newbalanceDest DOUBLE"
-)
-METRIC_DDL = (
-    "run_name STRING, auc_pr DOUBLE, auc_roc DOUBLE, "
-    "precision_at_0_5 DOUBLE, recall_at_0_5 DOUBLE, f1_at_0_5 DOUBLE"
-)
-
-TRANSACTION_SCHEMA = T.StructType.fromDDL(TRANSACTION_DDL)
-REQUEST_SCHEMA = T.StructType.fromDDL(REQUEST_DDL)
-METRIC_SCHEMA = T.StructType.fromDDL(METRIC_DDL)
+ACCOUNT_CELLS = {
+    "step": INT, "type": TEXT, "amount": REAL,
+    "nameOrig": TEXT, "oldbalanceOrg": REAL, "newbalanceOrig": REAL,
+    "nameDest": TEXT, "oldbalanceDest": REAL, "newbalanceDest": REAL,
+}
+LABEL_CELLS = {"isFraud": INT, "isFlaggedFraud": INT}
+METRIC_CELLS = {
+    "run_name": TEXT, "auc_pr": REAL, "auc_roc": REAL,
+    "precision_at_0_5": REAL, "recall_at_0_5": REAL, "f1_at_0_5": REAL,
+}
+
+
+def _schema(cells: dict[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in cells.items()])
+
+
+TRANSACTION_SCHEMA = _schema(ACCOUNT_CELLS | LABEL_CELLS)
+REQUEST_SCHEMA = _schema({"tx_id": TEXT} | ACCOUNT_CELLS)
+METRIC_SCHEMA = _schema(METRIC_CELLS)
 
 TRANSACTION_COLUMNS = TRANSACTION_SCHEMA.fieldNames()
 REQUEST_COLUMNS = REQUEST_SCHEMA.fieldNames()
