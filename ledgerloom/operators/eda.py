@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,18 +160,27 @@ def with_eda_columns(df: DataFrame) -> DataFrame:
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson r for all ordered pairs, from one aggregate row.
 
-    Each pair uses the rows where both are present. A constant column gives NULL
-    (the built-in ``corr`` raises on it under ANSI mode).
+    Each pair uses the rows where both are present. A cheap count finds the
+    columns that have gaps; only their pairs need a deviation of their own. A
+    constant column gives NULL (the built-in ``corr`` raises on it under ANSI).
     """
     columns = list(columns or numeric_columns(df))
-    pairs = list(combinations_with_replacement(columns, 2))
-    measured = []
-    for a, b in pairs:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        measured.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"{a}|{b}"))
-    once = df.agg(*measured)
-    both = [(a, b, f"{a}|{b}") for a, b in pairs] + [(b, a, f"{a}|{b}") for a, b in pairs if a != b]
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    value = {c: F.col(c).cast("double") for c in columns}
+
+    def spread(a: str, b: str) -> Column:
+        seen = value[a] if not gaps[b] else F.when(value[b].isNotNull(), value[a])
+        return F.stddev_pop(seen)
+
+    pairs = list(combinations(columns, 2))
+    own = [F.when(spread(c, c) > 0, 1.0).alias(f"{c}|{c}") for c in columns]
+    mixed = [
+        F.try_divide(F.covar_pop(value[a], value[b]), spread(a, b) * spread(b, a)).alias(f"{a}|{b}")
+        for a, b in pairs
+    ]
+    once = df.agg(*own, *mixed)
+    both = [(a, b, f"{a}|{b}") for a, b in [*((c, c) for c in columns), *pairs]]
+    both += [(b, a, f"{a}|{b}") for a, b in pairs]
     return once.select(
         _rows(
             col_a=[F.lit(a) for a, _, _ in both],

@@ -57,6 +57,11 @@ def over_tx(*steps: str) -> str:
     return sql(TX, *steps)
 
 
+def near(expr: str, places: int, name: str | None = None) -> str:
+    """Rounded value without a negative zero."""
+    return f"round({expr}, {places}) + 0 AS {name or expr}"
+
+
 def number(value: float) -> str:
     return f"CAST('{float(value)!r}' AS DOUBLE)"
 
@@ -191,7 +196,7 @@ def sage_steps() -> list[str]:
         f"g1 AS MATERIALIZED (SELECT n.node_id, {first[0]} AS h0, {first[1]} AS h1 FROM nodes n JOIN m1 m USING (node_id))",
         mean_step("m2", "g1", ["h0", "h1"]),
         f"g2 AS MATERIALIZED (SELECT n.node_id, {second[0]} AS h0, {second[1]} AS h1 FROM g1 n JOIN m2 m USING (node_id))",
-        f"SELECT e.txn_id, round({classifier(cells)}, 6) AS logit FROM edge_norm e "
+        f"SELECT e.txn_id, {near(classifier(cells), 6, 'logit')} FROM edge_norm e "
         "JOIN g2 a ON a.node_id = orig_id JOIN g2 b ON b.node_id = dest_id",
     ]
 
@@ -483,21 +488,21 @@ ORACLES: dict[str, str] = {
         "round(pagerank, 10) AS pagerank FROM nodes_raw",
     ),
     "node_features_scaled": over_tx(
-        *NODE_STEPS, "SELECT node_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in NODE_FEATURES) + " FROM nodes"
+        *NODE_STEPS, "SELECT node_id, " + ", ".join(near(c, 6) for c in NODE_FEATURES) + " FROM nodes"
     ),
     "edge_attr_normalized": over_tx(
         *ID_STEPS, EDGE_ATTRS, EDGE_STATS, EDGE_NORM,
-        "SELECT txn_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ATTRS) + " FROM edge_norm",
+        "SELECT txn_id, " + ", ".join(near(c, 6) for c in ATTRS) + " FROM edge_norm",
     ),
     "graph_pack_nodes": over_tx(
         *NODE_STEPS,
-        "SELECT node_id, " + ", ".join(f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 4) AS x_{i}" for i, c in enumerate(NODE_FEATURES)) + " FROM nodes",
+        "SELECT node_id, " + ", ".join(near(f"CAST(CAST({c} AS FLOAT) AS DOUBLE)", 4, f"x_{i}") for i, c in enumerate(NODE_FEATURES)) + " FROM nodes",
     ),
     "graph_pack_edges": over_tx(
         *ID_STEPS, EDGE_ATTRS,
         "SELECT orig_id, dest_id, isFraud AS edge_label, CAST(step AS BIGINT) AS edge_time, step <= 480 AS is_train, "
         "step > 480 AND step <= 600 AS is_val, step > 600 AS is_test, "
-        + ", ".join(f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 4) AS attr_{i}" for i, c in enumerate(ATTRS)) + " FROM edge_attrs",
+        + ", ".join(near(f"CAST(CAST({c} AS FLOAT) AS DOUBLE)", 4, f"attr_{i}") for i, c in enumerate(ATTRS)) + " FROM edge_attrs",
     ),
     "graph_pack_report": over_tx(
         *ID_STEPS,
@@ -508,20 +513,20 @@ ORACLES: dict[str, str] = {
     # neighbourhoods
     "neighbor_mean_1hop": over_tx(
         *NODE_STEPS, mean_step("m1", "nodes", NODE_FEATURES),
-        "SELECT node_id AS id, " + ", ".join(f"round({c}, 6) AS mean_{c}" for c in NODE_FEATURES) + " FROM m1",
+        "SELECT node_id AS id, " + ", ".join(near(c, 6, f"mean_{c}") for c in NODE_FEATURES) + " FROM m1",
     ),
     "neighbor_mean_2hop": over_tx(
         *NODE_STEPS, mean_step("m1", "nodes", NODE_FEATURES), mean_step("m2", "m1", NODE_FEATURES),
-        "SELECT node_id AS id, " + ", ".join(f"round({c}, 6) AS mean2_{c}" for c in NODE_FEATURES) + " FROM m2",
+        "SELECT node_id AS id, " + ", ".join(near(c, 6, f"mean2_{c}") for c in NODE_FEATURES) + " FROM m2",
     ),
     "neighbor_mean_train_only": over_tx(
         *NODE_STEPS, mean_step("m1", "nodes", NODE_FEATURES, "WHERE step <= 480"),
-        "SELECT node_id AS id, " + ", ".join(f"round({c}, 6) AS mean_{c}" for c in NODE_FEATURES) + " FROM m1",
+        "SELECT node_id AS id, " + ", ".join(near(c, 6, f"mean_{c}") for c in NODE_FEATURES) + " FROM m1",
     ),
     "sage_score": over_tx(*NODE_STEPS, EDGE_ATTRS, EDGE_STATS, EDGE_NORM, *sage_steps()),
     "sage_score_pair": over_tx(
         *NODE_STEPS, EDGE_ATTRS, EDGE_STATS, EDGE_NORM, PAIR_ROWS, *pair_steps("pair_rows"),
-        "SELECT txn_id, round(logit, 6) AS logit FROM logits",
+        "SELECT txn_id, " + near("logit", 6) + " FROM logits",
     ),
     # exploration
     "eda_head": over_tx("SELECT * FROM tx ORDER BY step, txn_id LIMIT 5"),
@@ -559,7 +564,7 @@ ORACLES: dict[str, str] = {
     "eda_correlation": over_tx(
         EDA,
         union_all(
-            [f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS r FROM e" for a in EDA_COLUMNS for b in EDA_COLUMNS]
+            [f"SELECT '{a}' AS col_a, '{b}' AS col_b, {near(f'corr({a}, {b})', 6, 'r')} FROM e" for a in EDA_COLUMNS for b in EDA_COLUMNS]
         ),
     ),
     "eda_degree_describe": over_tx(
@@ -611,11 +616,11 @@ ORACLES: dict[str, str] = {
     "score_node_lookup": over_tx(
         *REQUEST_STEPS,
         "SELECT txn_id AS tx_id, nameOrig, nameDest, src_is_new, dst_is_new, "
-        + ", ".join(f"round({s}_{c}, 4) AS {s}_{c}" for s in ("src", "dst") for c in NODE_FEATURES) + " FROM request_rows",
+        + ", ".join(near(f"{s}_{c}", 4) for s in ("src", "dst") for c in NODE_FEATURES) + " FROM request_rows",
     ),
     "score_account_profiles": over_tx(
         *NODE_STEPS, "everyone AS (SELECT nameOrig AS account FROM tx UNION SELECT nameDest FROM tx)",
-        "SELECT account, " + ", ".join(f"round(coalesce({c}, 0), 4) AS {c}" for c in NODE_FEATURES)
+        "SELECT account, " + ", ".join(near(f"coalesce({c}, 0)", 4, c) for c in NODE_FEATURES)
         + ", node_id IS NULL AS is_new_account FROM everyone LEFT JOIN nodes USING (account)",
     ),
     "score_batch": over_tx(*REQUEST_STEPS, *pair_steps("request_rows"), DECISIONS),

@@ -292,15 +292,16 @@ def edge_features(tx):
     return rounded(accounts.edge_features(_mapped(tx), ["txn_id"]), 9, "log_amount")
 
 
-@over_silver
-def node_features_raw(tx):
-    raw = accounts.node_features(_mapped(tx))
+@query
+def node_features_raw(spark, sf_dir):
+    raw = accounts.node_features(edges_layer(spark, sf_dir))
     return rounded(rounded(raw, 2, "out_total_amt", "in_total_amt"), 10, "pagerank")
 
 
-@over_silver
-def node_features_scaled(tx):
-    return rounded(accounts.scaled_node_features(accounts.node_features(_mapped(tx))), 6, *NODE_FEATURES)
+@query
+def node_features_scaled(spark, sf_dir):
+    raw = accounts.node_features(edges_layer(spark, sf_dir))
+    return rounded(accounts.scaled_node_features(raw), 6, *NODE_FEATURES)
 
 
 def edges_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -644,7 +645,8 @@ def alerts_first_rows(tx):
 
 def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = sample.table(spark, sf_dir, "lineitem")
-    return table_stream(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", lines.schema)
+    # The braces make it a pattern, which may match one file or a folder of files.
+    return table_stream(spark, f"{sf_dir.rstrip('/')}/{{lineitem}}.parquet", lines.schema)
 
 
 def _raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
