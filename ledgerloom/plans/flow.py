@@ -1,0 +1,354 @@
+"""The batch flow: each step reads stored layers and writes its own.
+
+Counts are taken while writing, so no step runs its plan twice.
+"""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.config import RunConfig, Split
+from ledgerloom.functions.splits import proportional_bounds, split_label
+from ledgerloom.operators import (
+    accounts,
+    eda,
+    features,
+    graph,
+    ingest,
+    learning,
+    metrics,
+    neighbors,
+    pagerank,
+    reports,
+    scoring,
+    training,
+)
+from ledgerloom.operators.training import NODE_FEATURES
+from ledgerloom.sources.readers import read_metrics, read_requests_text, read_table, read_transactions
+from ledgerloom.sources.schema import TRANSACTION_COLUMNS
+from ledgerloom.sources.writers import write_counted, write_csv, write_json, write_ragged_csv, write_table
+from ledgerloom.streaming.jobs import run_available, score_stream
+from ledgerloom.streaming.sources import request_stream
+
+Step = Callable[[SparkSession, RunConfig], dict]
+STEPS: dict[str, Step] = {}
+
+
+def step(fn: Step) -> Step:
+    STEPS[fn.__name__.replace("_", "-")] = fn
+    return fn
+
+
+def _layer(spark: SparkSession, config: RunConfig, name: str) -> DataFrame:
+    return read_table(spark, config.layer(name))
+
+
+def _silver(spark: SparkSession, config: RunConfig) -> DataFrame:
+    return _layer(spark, config, "silver").select("txn_id", *TRANSACTION_COLUMNS)
+
+
+def _first(df: DataFrame) -> dict:
+    row = df.first()
+    return row.asDict() if row else {}
+
+
+@step
+def bronze(spark, config):
+    """CSV to cleaned, identified transactions; the file is read once."""
+    cleaned = ingest.ingest(read_transactions(spark, config.raw_csv))
+    write_counted(cleaned, config.layer("bronze"), by_day=True)
+    return _first(ingest.ingest_summary(_layer(spark, config, "bronze")))
+
+
+@step
+def silver(spark, config):
+    """The configured step range; fails when it holds no rows."""
+    span = config.min_step, config.max_step
+    chosen = ingest.step_range(_layer(spark, config, "bronze"), *span)
+    write_counted(chosen, config.layer("silver"), by_day=True)
+    found = _first(ingest.subset_summary(_layer(spark, config, "silver"), *span))
+    ingest.require_rows(found["total_rows"], *span)
+    return found
+
+
+@step
+def graph_tables(spark, config):
+    tx = _silver(spark, config)
+    write_table(graph.vertices(tx), config.layer("vertices"))
+    write_table(graph.edges(tx), config.layer("edges"))
+    return _first(graph.graph_summary(_layer(spark, config, "vertices"), _layer(spark, config, "edges")))
+
+
+@step
+def tabular(spark, config):
+    return write_counted(features.tabular_features(_silver(spark, config)), config.layer("tabular_features"))
+
+
+@step
+def graph_features(spark, config):
+    """Degree and history features, then ranks from training edges only."""
+    tx = _silver(spark, config)
+    write_table(features.degree_features(tx), config.layer("degree_features"))
+    links = pagerank.training_edges(_layer(spark, config, "edges"), config.split.train_max)
+    result = pagerank.rank_accounts(links, config.rank.damping, config.rank.rounds)
+    write_table(result.ranks, config.layer("pagerank_nodes"))
+    ranks = _layer(spark, config, "pagerank_nodes")
+    write_table(pagerank.ranks_on_transactions(tx, ranks), config.layer("pagerank_features"))
+    return {"num_vertices": result.vertex_count, "l1_deltas": result.deltas}
+
+
+@step
+def training_set(spark, config):
+    """The joined training table, built from the transactions and stored ranks."""
+    rows = training.training_rows(_silver(spark, config), _layer(spark, config, "pagerank_nodes"))
+    return write_counted(rows, config.layer("training_dataset"))
+
+
+@step
+def training_set_joined(spark, config):
+    """The same table by joining the three stored feature tables on the row id."""
+    parts = [_layer(spark, config, n) for n in ("tabular_features", "degree_features", "pagerank_features")]
+    return write_counted(training.join_feature_tables(*parts), config.layer("training_dataset"))
+
+
+@step
+def train(spark, config):
+    records = learning.ablation(_layer(spark, config, "training_dataset"), config.split)
+    write_json(records, config.layer("reports/day3_graph_enhanced_metrics"))
+    return {row.run_name: row.asDict() for row in records.collect()}
+
+
+@step
+def compare(spark, config):
+    """Model comparison table and best run per metric."""
+    runs = reports.union_runs(
+        read_metrics(spark, config.layer("reports/day2_baseline_metrics")),
+        read_metrics(spark, config.layer("reports/day3_graph_enhanced_metrics")),
+    )
+    write_csv(reports.latest_runs(runs), config.layer("reports/final_model_comparison"))
+    summary = reports.comparison_summary(runs)
+    write_json(summary, config.layer("reports/final_evaluation_summary"))
+    return _first(summary)
+
+
+@step
+def export_reports(spark, config):
+    """Tables and plot series of the scaling runs and of the models."""
+    runs = spark.read.option("header", True).option("inferSchema", True).csv(config.layer("reports/scaling_results"))
+    records = read_metrics(spark, config.layer("reports/day3_graph_enhanced_metrics"))
+    if records is None:
+        raise FileNotFoundError("metric records not found: run the train step first")
+    assets = "reports/assets/"
+    write_csv(reports.runtime_summary(runs), config.layer(assets + "scaling_runtime_summary"))
+    write_csv(records, config.layer(assets + "model_metrics_summary"))
+    for column in ("total_runtime_sec", "05_extract_graph_features_sec"):
+        if column in runs.columns:
+            write_csv(reports.runtime_series(runs, column), config.layer(f"{assets}series_{column}"))
+    for metric in ("auc_pr", "recall_at_0_5", "precision_at_0_5"):
+        write_csv(reports.metric_series(records, metric), config.layer(f"{assets}series_{metric}"))
+    return {}
+
+
+@step
+def risk_edges(spark, config):
+    """High-risk transactions with dense account ids and edge attributes."""
+    risky = ingest.high_risk(_silver(spark, config))
+    write_table(accounts.account_ids(risky), config.layer("account_ids"))
+    mapped = accounts.map_accounts(risky, _layer(spark, config, "account_ids"))
+    kept = ["txn_id", "amount"]
+    return write_counted(accounts.edge_features(mapped, kept), config.layer("edge_features"))
+
+
+@step
+def risk_nodes(spark, config):
+    """Scaled node features per account id, and the training edge statistics."""
+    edges = _layer(spark, config, "edge_features")
+    write_table(accounts.node_features(edges), config.layer("node_features_raw"))
+    raw = _layer(spark, config, "node_features_raw")
+    write_table(accounts.scaled_node_features(raw), config.layer("node_features"))
+    trained = split_label(config.split) == "train"
+    write_table(accounts.edge_statistics(edges, trained), config.layer("edge_statistics"))
+    return {}
+
+
+@step
+def pack(spark, config):
+    """Vector tables for graph learning."""
+    write_table(training.pack_nodes(_layer(spark, config, "node_features")), config.layer("packed_nodes"))
+    edges = _layer(spark, config, "edge_features")
+    write_table(training.pack_edges(edges, config.split), config.layer("packed_edges"))
+    return _first(training.pack_report(_layer(spark, config, "packed_nodes"), _layer(spark, config, "packed_edges")))
+
+
+@step
+def graph_model(spark, config):
+    """Edge classifier on both ends' features and their train-only neighbour means."""
+    statistics = _layer(spark, config, "edge_statistics")
+    edges = accounts.normalize_edges(_layer(spark, config, "edge_features"), statistics)
+    edges = training.assign_split(edges.withColumnsRenamed({"orig_id": "src", "dest_id": "dst"}), config.split)
+    nodes = _layer(spark, config, "node_features").withColumnRenamed("node_id", "id")
+    heard = edges.filter(F.col("split") == "train").select("src", "dst")
+    vectors = neighbors.neighbor_mean(nodes, heard, NODE_FEATURES)
+    columns = list(accounts.EDGE_ATTRIBUTES)
+    for end in ("src", "dst"):
+        names = {c: f"{end}_{c}" for c in vectors.columns if c != "id"}
+        edges = edges.join(vectors.withColumnsRenamed({"id": end, **names}), end)
+        columns += names.values()
+    report = learning.graph_classifier(edges, columns)
+    write_json(report, config.layer("reports/graph_model_metrics"))
+    return _first(report)
+
+
+def _model(spark: SparkSession, config: RunConfig) -> scoring.ScoringModel:
+    profiles = scoring.account_profiles(
+        _layer(spark, config, "node_features"), _layer(spark, config, "account_ids")
+    )
+    return scoring.ScoringModel(profiles, _layer(spark, config, "edge_statistics"), neighbors.patterned_scorer())
+
+
+@step
+def score(spark, config):
+    """Decisions for request files; requests that do not validate go to rejects."""
+    checked = scoring.validate_requests(read_requests_text(spark, config.layer("requests")))
+    write_table(scoring.rejected(checked), config.layer("rejects"))
+    decisions = scoring.decide(scoring.score_requests(scoring.accepted(checked), _model(spark, config)))
+    write_table(decisions, config.layer("decisions"))
+    return _first(_layer(spark, config, "decisions").agg(F.count(F.lit(1)).alias("scored")))
+
+
+@step
+def score_arrivals(spark, config):
+    """The same decisions as a stream over the request files that have arrived."""
+    decisions = score_stream(request_stream(spark, config.layer("requests")), _model(spark, config))
+    query = run_available(decisions, config.layer("stream_decisions"), config.layer("stream_state"))
+    return {"batches": len(query.recentProgress)}
+
+
+@step
+def explore(spark, config):
+    """All exploratory tables."""
+    tx = _silver(spark, config)
+    wide = eda.with_eda_columns(tx)
+    tables = {
+        "schema_profile": eda.schema_profile(tx),
+        "missing": eda.missing_values(tx),
+        "describe": eda.describe(tx),
+        "label_counts": eda.value_counts(tx, "isFraud"),
+        "type_counts": eda.value_counts(tx, "type"),
+        "crosstab": eda.crosstab(tx),
+        "crosstab_rate": eda.crosstab_rate(tx),
+        "hist_amount": eda.histogram(tx, F.col("amount")),
+        "hist_log_amount": eda.histogram(tx, F.log1p("amount")),
+        "box_log_amount": eda.box_statistics(wide, F.col("log_amount")),
+        "box_orig_diff": eda.box_statistics(wide, F.col("orig_balance_diff")),
+        "box_dest_diff": eda.box_statistics(wide, F.col("dest_balance_diff")),
+        "volume_by_step": eda.volume_by_step(tx),
+        "fraud_by_step": eda.fraud_by_step(tx),
+        "correlation": eda.correlation(wide),
+        "sender_degrees": eda.degree_profile(tx, "nameOrig"),
+        "receiver_degrees": eda.degree_profile(tx, "nameDest"),
+        "hist_sender_degree": eda.degree_histogram(tx, "nameOrig"),
+        "top_fraud_senders": eda.top_fraud(tx, "nameOrig"),
+        "top_fraud_receivers": eda.top_fraud(tx, "nameDest"),
+    }
+    for name, table in tables.items():
+        write_table(table, config.layer(f"eda/{name}"))
+    return _first(eda.summary(tx))
+
+
+@step
+def evaluate_scores(spark, config):
+    """Metrics of a stored score table ``(p, isFraud, split)``."""
+    scored = _layer(spark, config, "scored")
+    best = metrics.best_threshold(metrics.threshold_sweep(scored.filter(F.col("split") == "val"))).first()
+    report = metrics.split_evaluation(scored, best.threshold if best else 0.5)
+    write_json(report, config.layer("reports/score_metrics"))
+    return {row.split: row.asDict() for row in report.collect()}
+
+
+PIPELINE = ["silver", "graph-tables", "tabular", "graph-features", "training-set", "train"]
+# Names under which the run-time report lists the steps.
+REPORT_NAMES = dict(
+    zip(
+        PIPELINE,
+        (
+            "02_make_dev_subset", "03_build_graph_tables", "04_extract_tabular_features",
+            "05_extract_graph_features", "06_build_training_dataset", "07_train_model",
+        ),
+        strict=True,
+    )
+)
+
+
+def run(spark: SparkSession, config: RunConfig, names: list[str]) -> dict[str, dict]:
+    """Run steps in order; the result holds each step's figures and seconds."""
+    unknown = [n for n in names if n not in STEPS]
+    if unknown:
+        raise ValueError(f"unknown steps {unknown}; choose from {sorted(STEPS)}")
+    results = {}
+    for name in names:
+        start = time.perf_counter()
+        figures = STEPS[name](spark, config)
+        results[name] = {"seconds": round(time.perf_counter() - start, 4), **figures}
+    return results
+
+
+def bounds_for(spark: SparkSession, last_step: int) -> Split:
+    row = spark.range(1).select(*[c.alias(n) for n, c in proportional_bounds(F.lit(last_step)).items()]).first()
+    return Split(row.train_max, row.val_max)
+
+
+def scaling_runs(spark: SparkSession, config: RunConfig) -> DataFrame:
+    """Run the pipeline per step range and shuffle width; one record each.
+
+    A failed step ends its run, which is recorded with the step's name.
+    """
+    master = spark.sparkContext.master
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    records = []
+    try:
+        for partitions in config.scaling.shuffle_partitions:
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            for last in config.scaling.step_max:
+                records.append(_scaling_run(spark, config, master, partitions, last))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    frames = [spark.createDataFrame([record]) for record in records]
+    table = reports.union_ragged(*frames)
+    write_ragged_csv(table.coalesce(1), config.layer("reports/scaling_results"))
+    return table
+
+
+def _scaling_run(spark: SparkSession, config: RunConfig, master: str, partitions: int, last: int) -> dict:
+    tag = master.translate(str.maketrans({"[": "", "]": "", "*": "star", ":": "_"}))
+    name = f"exp_{tag}_p{partitions}_step{last}"
+    trial = replace(config, root=config.layer(f"scaling/{name}"), min_step=1, max_step=last, split=bounds_for(spark, last))
+    record = {
+        "experiment_id": name, "master": master, "step_max": last,
+        "shuffle_partitions": partitions, "status": "SUCCESS",
+    }
+    ingest_once = ingest.step_range(_layer(spark, config, "bronze"), 1, last)
+    start = time.perf_counter()
+    write_counted(ingest_once, trial.layer("bronze"), by_day=True)
+    for step_name in PIPELINE:
+        label = REPORT_NAMES[step_name]
+        try:
+            figures = run(spark, trial, [step_name])[step_name]
+        except Exception as error:
+            record |= {"status": "FAILED", "failed_job": label, "error": type(error).__name__}
+            break
+        record[f"{label}_sec"] = figures["seconds"]
+        if step_name == "silver":
+            record |= {"subset_rows": figures["total_rows"], "subset_fraud_rows": figures["fraud_rows"]}
+        elif step_name == "graph-tables":
+            record |= {n: figures[n] for n in ("vertex_count", "edge_count")}
+        elif step_name == "train":
+            for run_name in learning.FEATURE_SETS:
+                record |= {f"{run_name}_{m}": float(figures[run_name][m]) for m in reports.RUN_METRICS}
+    record["total_runtime_sec"] = round(time.perf_counter() - start, 4)
+    return record
