@@ -115,9 +115,8 @@ def rank_accounts(
             base = (1.0 - damping) / total + damping * mass / total
             newer = _next_round(state, links, heavy, limit, base, damping).persist(StorageLevel.MEMORY_AND_DISK)
             held.append(newer)
-            row = newer.agg(
-                F.sum("change").alias("delta"),
-                F.sum(F.when(F.col("out_weight") == 0, F.col("pagerank"))).alias("mass"),
+            row = newer.selectExpr(
+                "sum(change) AS delta", "sum(pagerank) FILTER (WHERE out_weight = 0) AS mass"
             ).first()
             mass = row.mass or 0.0
             deltas.append((number, row.delta))
@@ -140,30 +139,30 @@ def rank_accounts(
             frame.unpersist()
 
 
+# What an account's identity row (weight 0) carries of its own state.
+CARRIED = ["out_weight", "out_pairs", "pagerank"]
+
+
 def _next_round(
     state: DataFrame, links: DataFrame, heavy: DataFrame | None, limit: int, base: float, damping: float
 ) -> DataFrame:
-    carried = ["out_weight", "out_pairs", "pagerank"]
-    per_weight = F.col("pagerank") / F.col("out_weight")
-    own = F.col("edge_weight") == 0
-    known = state.withColumnRenamed("id", "src").select("src", *carried)
-    sent = links.join(known.hint("merge"), "src").select(
-        F.col("dst").alias("id"),
-        F.when(own, 0.0).otherwise(F.col("edge_weight") * per_weight).alias("part"),
-        *[F.when(own, F.col(c)).alias(c) for c in carried],
+    known = state.selectExpr("id AS src", *CARRIED)
+    sent = links.join(known.hint("merge"), "src").selectExpr(
+        "dst AS id",
+        "IF(edge_weight = 0, 0.0D, edge_weight * pagerank / out_weight) AS part",
+        *[f"IF(edge_weight = 0, {c}, NULL) AS {c}" for c in CARRIED],
     )
     if heavy is not None:
         # At most MAX_HEAVY_SOURCES rows; cut so that the plan reads the state once.
-        few = cut_lineage(known.filter(F.col("out_pairs") > limit).select("src", per_weight.alias("per_weight")))
-        from_heavy = heavy.join(F.broadcast(few), "src").select(
-            F.col("dst").alias("id"), (F.col("edge_weight") * F.col("per_weight")).alias("part")
-        )
+        few = cut_lineage(known.filter(f"out_pairs > {limit}").selectExpr("src", "pagerank / out_weight AS per_weight"))
+        from_heavy = heavy.join(F.broadcast(few), "src").selectExpr("dst AS id", "edge_weight * per_weight AS part")
         sent = sent.unionByName(from_heavy, allowMissingColumns=True)
-    rank = F.lit(base) + F.lit(damping) * F.col("received")
+    totals = [F.expr(f"max({c}) AS {c}") for c in CARRIED]
+    rank = f"{base!r}D + {damping!r}D * received"
     return (
         sent.groupBy("id")
-        .agg(F.sum("part").alias("received"), *[F.max(c).alias(c) for c in carried])
-        .select("id", "out_weight", "out_pairs", rank.alias("pagerank"), F.abs(rank - F.col("pagerank")).alias("change"))
+        .agg(F.expr("sum(part) AS received"), *totals)
+        .selectExpr("id", "out_weight", "out_pairs", f"{rank} AS pagerank", f"abs({rank} - pagerank) AS change")
     )
 
 

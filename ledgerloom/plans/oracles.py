@@ -101,7 +101,7 @@ def delta_steps(rounds: int) -> list[str]:
 
 WEIGHTED = [TRAIN_LINKS, *rank_steps("links", 10, True)]
 # Rounds unrolled for the tolerance variant; the first that meets the rule is taken.
-UNROLLED = 12
+UNROLLED = 30
 UNWEIGHTED = [
     *rank_steps("risk_links", UNROLLED, False),
     *delta_steps(UNROLLED),
