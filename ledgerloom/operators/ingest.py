@@ -67,8 +67,8 @@ def subset_summary(subset: DataFrame, low: int, high: int) -> DataFrame:
     )
 
 
-def require_rows(total_rows: int, low: int, high: int) -> None:
-    if total_rows == 0:
+def require_rows(found: bool | int, low: int, high: int) -> None:
+    if not found:
         raise ValueError(f"no transactions in steps {low} to {high}")
 
 

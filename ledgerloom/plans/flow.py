@@ -70,10 +70,9 @@ def silver(spark, config):
     """The configured step range; fails when it holds no rows."""
     span = config.min_step, config.max_step
     chosen = ingest.step_range(_layer(spark, config, "bronze"), *span)
+    ingest.require_rows(not chosen.isEmpty(), *span)
     write_counted(chosen, config.layer("silver"), by_day=True)
-    found = _first(ingest.subset_summary(_layer(spark, config, "silver"), *span))
-    ingest.require_rows(found["total_rows"], *span)
-    return found
+    return _first(ingest.subset_summary(_layer(spark, config, "silver"), *span))
 
 
 @step
