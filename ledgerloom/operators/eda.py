@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.ordering import percentiles
+from ledgerloom.session import join_counted
 from ledgerloom.sources.schema import numeric_columns
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -126,9 +127,8 @@ def box_statistics(df: DataFrame, value: Column, within: str = "isFraud", approx
     quartiles = percentiles(rows, "x", QUARTILES, [within], approximate)
     reach = (F.col("q75") - F.col("q25")) * 1.5
     inside = F.col("x").between(F.col("q25") - reach, F.col("q75") + reach)
-    # One row per group on the right; adaptive execution broadcasts it when small.
     return (
-        rows.join(quartiles, within)
+        join_counted(rows, quartiles, [within])
         .groupBy(within)
         .agg(
             *[F.first(q).alias(q) for q in QUARTILES],

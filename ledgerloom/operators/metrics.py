@@ -49,10 +49,10 @@ def average_precision(df: DataFrame, score: str = "p", label: str = "isFraud", w
     steps = steps.withColumn("_all", F.lit(0))
     ranked = running_totals(steps, [F.col(score).desc()], ["n", "hits"], ["_all", *within])
     gain = F.col("hits") * F.col("hits_so_far") / F.col("n_so_far")
-    totals = ranked.groupBy("_all", *within).agg(
+    summed = ranked.groupBy("_all", *within).agg(
         safe_ratio(F.sum(gain), F.sum("hits")).alias("average_precision")
     )
-    return totals.select(*within, "average_precision")
+    return summed.select(*within, "average_precision")
 
 
 def threshold_sweep(df: DataFrame, score: str = "p", label: str = "isFraud", within: Sequence[str] = ()) -> DataFrame:

@@ -31,14 +31,14 @@ def lay_out(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
 
 
 def _before(totals: DataFrame, within: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Sum of the earlier slices' totals, per group: at most one row per slice and group."""
-    earlier = (
-        Window.partitionBy(*(within or [F.lit(0)]))
-        .orderBy(SLICE)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    """Per slice of a group: the sum over its earlier slices, and over all of them.
+
+    The input has at most one row per slice and group.
+    """
+    group = Window.partitionBy(*(within or [F.lit(0)]))
+    earlier = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     sums = [F.ifnull(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in names]
-    return totals.select(*within, SLICE, *sums)
+    return totals.select(*within, SLICE, *sums, *[F.sum(n).over(group).alias(f"_total_{n}") for n in names])
 
 
 def number_rows(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
@@ -48,7 +48,7 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str) -> Data
     return (
         placed.join(_before(sizes, [], ["size"]), SLICE)
         .withColumn(name, F.col("_before_size") + F.col(PLACE))
-        .drop(SLICE, PLACE, "_before_size")
+        .drop(SLICE, PLACE, "_before_size", "_total_size")
     )
 
 
@@ -58,18 +58,22 @@ def running_totals(
     values: Sequence[str],
     within: Sequence[str] = (),
 ) -> DataFrame:
-    """Inclusive running totals ``<value>_so_far`` in ``order``, per ``within`` group."""
+    """Running totals in ``order``, per ``within`` group.
+
+    Adds ``<value>_so_far`` (inclusive) and the group's ``<value>_total``.
+    """
     placed = lay_out(df, [*within, *order])
-    totals = placed.groupBy(*within, SLICE).agg(*[F.sum(v).alias(v) for v in values])
+    slices = placed.groupBy(*within, SLICE).agg(*[F.sum(v).alias(v) for v in values])
     here = (
         Window.partitionBy(*within, SLICE)
         .orderBy(PLACE)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    started = placed.join(_before(totals, within, values), [*within, SLICE])
+    started = placed.join(_before(slices, within, values), [*within, SLICE])
     return started.select(
         *df.columns,
         *[(F.col(f"_before_{v}") + F.sum(v).over(here)).alias(f"{v}_so_far") for v in values],
+        *[F.col(f"_total_{v}").alias(f"{v}_total") for v in values],
     )
 
 
@@ -95,8 +99,7 @@ def percentiles(
         counted = counted.withColumn("_all", F.lit(0))
     keys = list(within) or ["_all"]
     ranked = running_totals(counted, [value], ["n"], keys)
-    sizes = ranked.groupBy(*keys).agg(F.sum("n").alias("_size"))
-    placed = ranked.join(sizes, keys)
+    last = F.col("n_total") - 1
 
     def at(rank: Column) -> Column:
         holds = (F.col("n_so_far") > rank) & (F.col("n_so_far") - F.col("n") <= rank)
@@ -104,14 +107,14 @@ def percentiles(
 
     columns = []
     for name, fraction in fractions.items():
-        spot = (F.col("_size") - 1) * F.lit(float(fraction))
+        spot = last * F.lit(float(fraction))
         low = F.floor(spot)
         columns += [
             at(low).alias(f"_{name}_low"),
-            at(F.least(low + 1, F.col("_size") - 1)).alias(f"_{name}_high"),
+            at(F.least(low + 1, last)).alias(f"_{name}_high"),
             F.max(spot - low).alias(f"_{name}_part"),
         ]
-    found = placed.groupBy(*keys).agg(*columns)
+    found = ranked.groupBy(*keys).agg(*columns)
     return found.select(
         *within,
         *[

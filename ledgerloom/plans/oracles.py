@@ -607,7 +607,7 @@ ORACLES: dict[str, str] = {
     ),
     # scoring and streams
     "score_request_validate": over_tx(
-        "SELECT txn_id AS tx_id, CASE WHEN nameOrig = nameDest THEN NULL ELSE step END AS step, "
+        "SELECT txn_id AS tx_id, CASE WHEN nameOrig = nameDest THEN NULL ELSE CAST(step AS DOUBLE) END AS step, "
         "CASE WHEN isFlaggedFraud = 1 THEN NULL ELSE amount END AS amount, "
         "CASE WHEN oldbalanceDest = 0 AND type = 'DEBIT' THEN NULL ELSE nameDest END AS nameDest, "
         "CASE WHEN nameOrig = nameDest THEN 'step: invalid' WHEN isFlaggedFraud = 1 THEN 'amount: invalid' "
@@ -661,8 +661,9 @@ ORACLES: dict[str, str] = {
         SCORED, *records("older", 0.0), "SELECT 'auc_pr' AS series, run_name AS x, auc_pr AS y FROM older"
     ),
     "log_metrics_extract": over_tx(
-        "SELECT nameOrig AS log, count(*) AS total_rows, CAST(nullif(sum(isFraud), 0) AS BIGINT) AS fraud_rows, "
-        "CASE WHEN min(step) % 2 = 0 THEN CAST(min(step) AS BIGINT) END AS vertex_count, count(*) AS edge_count FROM tx GROUP BY nameOrig"
+        "SELECT nameOrig AS log, CAST(count(*) AS DOUBLE) AS total_rows, CAST(nullif(sum(isFraud), 0) AS DOUBLE) AS fraud_rows, "
+        "CASE WHEN min(step) % 2 = 0 THEN CAST(min(step) AS DOUBLE) END AS vertex_count, CAST(count(*) AS DOUBLE) AS edge_count "
+        "FROM tx GROUP BY nameOrig"
     ),
     # learning
     "ml_type_index": over_tx(

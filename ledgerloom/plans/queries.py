@@ -602,7 +602,8 @@ def _model(spark: SparkSession, sf_dir: str) -> scoring.ScoringModel:
 
 @over_silver
 def score_request_validate(tx):
-    return scoring.validate_requests(sample.request_texts(tx)).select("tx_id", "step", "amount", "nameDest", "reason")
+    checked = scoring.validate_requests(sample.request_texts(tx)).select("tx_id", "step", "amount", "nameDest", "reason")
+    return checked.withColumn("step", F.col("step").cast("double"))
 
 
 @query
@@ -632,15 +633,20 @@ def score_report(tx):
 FEED_COLUMNS = ["txn_id", "nameOrig", "nameDest", "prediction", "actual"]
 
 
+def _feed(tx: DataFrame) -> DataFrame:
+    """Only the columns that the alert feed shows or orders by."""
+    return sample.with_scores(tx).select("step", "txn_id", "nameOrig", "nameDest", "p", "isFraud")
+
+
 @over_silver
 def alerts_sampled(tx):
-    return scoring.alert_feed(sample.with_scores(tx)).select(*FEED_COLUMNS, "ordinal")
+    return scoring.alert_feed(_feed(tx)).select(*FEED_COLUMNS, "ordinal")
 
 
 @over_silver
 def alerts_first_rows(tx):
     """The feed over the first 2,000 transactions only: the cap is the feature."""
-    return scoring.alert_feed(sample.with_scores(tx), max_rows=2000).select(*FEED_COLUMNS, "ordinal")
+    return scoring.alert_feed(_feed(tx), max_rows=2000).select(*FEED_COLUMNS, "ordinal")
 
 
 def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -742,7 +748,8 @@ def report_metric_series(tx):
 
 @over_silver
 def log_metrics_extract(tx):
-    return reports.log_figures(sample.run_logs(tx))
+    found = reports.log_figures(sample.run_logs(tx))
+    return found.withColumns({name: F.col(name).cast("double") for name in reports.LOG_FIGURES})
 
 
 # --- learning ------------------------------------------------------------------------------------
