@@ -102,7 +102,8 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
     stats = df.agg(F.struct(*measured).alias("stats")).scalar()
     rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest, *[((F.col(c) - stats[c]["mean"]) / stats[c]["std"]).alias(c) for c in columns])
+    scaled = [((F.col(c) - F.col(f"_stats.{c}.mean")) / F.col(f"_stats.{c}.std")).alias(c) for c in columns]
+    return df.withColumn("_stats", stats).select(*rest, *scaled)
 
 
 def scaled_node_features(raw: DataFrame) -> DataFrame:
@@ -124,6 +125,5 @@ def edge_statistics(edges: DataFrame, train: Column, columns: Sequence[str] = ED
 def normalize_edges(edges: DataFrame, statistics: DataFrame, columns: Sequence[str] = EDGE_ATTRIBUTES) -> DataFrame:
     """Apply stored training statistics to all rows."""
     stats = statistics.select(F.struct("*").alias("stats")).scalar()
-    return edges.withColumns(
-        {c: (F.col(c) - stats[f"{c}_mean"]) / stats[f"{c}_std"] for c in columns}
-    )
+    scaled = {c: (F.col(c) - F.col(f"_stats.{c}_mean")) / F.col(f"_stats.{c}_std") for c in columns}
+    return edges.withColumn("_stats", stats).withColumns(scaled).drop("_stats")

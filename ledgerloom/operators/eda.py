@@ -103,21 +103,25 @@ def crosstab_rate(df: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
     """Equal-width bins between minimum and maximum; the last one is closed.
 
-    The range is a one-row scalar subquery; empty bins appear with 0.
+    The range is a one-row scalar subquery; empty bins appear with 0. A single
+    distinct value gets a unit-wide range around it.
     """
     values = df.select(value.cast("double").alias("x")).filter(F.col("x").isNotNull())
-    span = values.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("span")).scalar()
-    # A single distinct value gets a unit-wide range around it.
-    low = F.when(span["hi"] > span["lo"], span["lo"]).otherwise(span["lo"] - 0.5)
-    width = F.when(span["hi"] > span["lo"], (span["hi"] - span["lo"]) / bins).otherwise(F.lit(1.0 / bins))
-    place = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).cast("int")
-    filled = values.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    low, high = F.min("x"), F.max("x")
+    spans = high > low
+    span = F.struct(
+        F.when(spans, low).otherwise(low - 0.5).alias("lo"),
+        F.when(spans, (high - low) / bins).otherwise(1.0 / bins).alias("width"),
+    )
+    # Held in a column, so that the subquery appears once however often it is used.
+    span = values.agg(span.alias("span")).scalar()
+    place = F.least(F.floor((F.col("x") - F.col("span.lo")) / F.col("span.width")), F.lit(bins - 1)).cast("int")
+    filled = values.withColumn("span", span).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), span.alias("span"))
+    edge = F.col("span.lo") + F.col("bin") * F.col("span.width")
+    next_edge = F.col("span.lo") + (F.col("bin") + 1) * F.col("span.width")
     return every.join(filled, "bin", "left").select(
-        "bin",
-        (low + F.col("bin") * width).alias("lo"),
-        (low + (F.col("bin") + 1) * width).alias("hi"),
-        F.ifnull(F.col("n"), F.lit(0)).alias("n"),
+        "bin", edge.alias("lo"), next_edge.alias("hi"), F.ifnull(F.col("n"), F.lit(0)).alias("n")
     )
 
 

@@ -45,8 +45,9 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str) -> Data
     """Dense 0-based position of every row in ``order``."""
     placed = lay_out(df, order)
     sizes = placed.groupBy(SLICE).agg(F.count(F.lit(1)).alias("size"))
+    # One row per slice, that is per task of the range shuffle: always small.
     return (
-        placed.join(_before(sizes, [], ["size"]), SLICE)
+        placed.join(F.broadcast(_before(sizes, [], ["size"])), SLICE)
         .withColumn(name, F.col("_before_size") + F.col(PLACE))
         .drop(SLICE, PLACE, "_before_size", "_total_size")
     )
