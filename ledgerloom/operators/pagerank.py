@@ -96,7 +96,8 @@ def rank_accounts(
         if size.widest > limit:
             # Fewer than pairs / limit rows: bounded by MAX_HEAVY_SOURCES.
             heavy_ids = F.broadcast(accounts.filter(F.col("out_pairs") > limit).select(F.col("id").alias("src")))
-            heavy = pairs.join(heavy_ids, "src", "left_semi")
+            heavy = pairs.join(heavy_ids, "src", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(heavy)
             spread = pairs.join(heavy_ids, "src", "left_anti")
         identity = accounts.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("edge_weight"))
         links = (

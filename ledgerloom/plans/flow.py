@@ -118,7 +118,7 @@ def training_set_joined(spark, config):
 @step
 def train(spark, config):
     records = learning.ablation(_layer(spark, config, "training_dataset"), config.split)
-    write_json(records, config.layer("reports/day3_graph_enhanced_metrics"))
+    write_json(records, config.layer("reports/model_metrics"))
     return {row.run_name: row.asDict() for row in records.collect()}
 
 
@@ -126,12 +126,12 @@ def train(spark, config):
 def compare(spark, config):
     """Model comparison table and best run per metric."""
     runs = reports.union_runs(
-        read_metrics(spark, config.layer("reports/day2_baseline_metrics")),
-        read_metrics(spark, config.layer("reports/day3_graph_enhanced_metrics")),
+        read_metrics(spark, config.layer("reports/earlier_metrics")),
+        read_metrics(spark, config.layer("reports/model_metrics")),
     )
-    write_csv(reports.latest_runs(runs), config.layer("reports/final_model_comparison"))
+    write_csv(reports.latest_runs(runs), config.layer("reports/model_comparison"))
     summary = reports.comparison_summary(runs)
-    write_json(summary, config.layer("reports/final_evaluation_summary"))
+    write_json(summary, config.layer("reports/best_models"))
     return _first(summary)
 
 
@@ -139,13 +139,13 @@ def compare(spark, config):
 def export_reports(spark, config):
     """Tables and plot series of the scaling runs and of the models."""
     runs = spark.read.option("header", True).option("inferSchema", True).csv(config.layer("reports/scaling_results"))
-    records = read_metrics(spark, config.layer("reports/day3_graph_enhanced_metrics"))
+    records = read_metrics(spark, config.layer("reports/model_metrics"))
     if records is None:
         raise FileNotFoundError("metric records not found: run the train step first")
     assets = "reports/assets/"
     write_csv(reports.runtime_summary(runs), config.layer(assets + "scaling_runtime_summary"))
     write_csv(records, config.layer(assets + "model_metrics_summary"))
-    for column in ("total_runtime_sec", "05_extract_graph_features_sec"):
+    for column in ("total_runtime_sec", "graph_features_sec"):
         if column in runs.columns:
             write_csv(reports.runtime_series(runs, column), config.layer(f"{assets}series_{column}"))
     for metric in ("auc_pr", "recall_at_0_5", "precision_at_0_5"):
@@ -271,17 +271,6 @@ def evaluate_scores(spark, config):
 
 
 PIPELINE = ["silver", "graph-tables", "tabular", "graph-features", "training-set", "train"]
-# Names under which the run-time report lists the steps.
-REPORT_NAMES = dict(
-    zip(
-        PIPELINE,
-        (
-            "02_make_dev_subset", "03_build_graph_tables", "04_extract_tabular_features",
-            "05_extract_graph_features", "06_build_training_dataset", "07_train_model",
-        ),
-        strict=True,
-    )
-)
 
 
 def run(spark: SparkSession, config: RunConfig, names: list[str]) -> dict[str, dict]:
@@ -335,7 +324,7 @@ def _scaling_run(spark: SparkSession, config: RunConfig, master: str, partitions
     start = time.perf_counter()
     write_counted(ingest_once, trial.layer("bronze"), by_day=True)
     for step_name in PIPELINE:
-        label = REPORT_NAMES[step_name]
+        label = step_name.replace("-", "_")
         try:
             figures = run(spark, trial, [step_name])[step_name]
         except Exception as error:

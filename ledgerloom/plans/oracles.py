@@ -396,7 +396,7 @@ SCALING = [
   CAST(sum(coalesce(accounts, 0)) OVER (ORDER BY day) AS BIGINT) AS vertices FROM daily LEFT JOIN firsts USING (day))""",
     """scaling AS (SELECT 'exp_local' || cores || '_step' || step_max AS experiment_id, 'local[' || cores || ']' AS master,
   CAST(step_max AS INTEGER) AS step_max, edges AS subset_rows, vertices AS vertex_count, edges AS edge_count,
-  round(edges / (cores * 100.0e0), 4) AS "05_extract_graph_features_sec", round(edges / (cores * 50.0e0), 4) AS total_runtime_sec,
+  round(edges / (cores * 100.0e0), 4) AS "graph_features_sec", round(edges / (cores * 50.0e0), 4) AS total_runtime_sec,
   'SUCCESS' AS status FROM sizes CROSS JOIN (VALUES (1), (2)) m(cores))""",
 ]
 TYPES = ["CASH_IN", "CASH_OUT", "DEBIT", "PAYMENT", "TRANSFER"]
@@ -651,7 +651,7 @@ ORACLES: dict[str, str] = {
         *SCALING,
         "SELECT * EXCLUDE (total_runtime_sec) REPLACE (CASE WHEN step_max % 120 = 0 THEN 'FAILED' ELSE status END AS status), "
         "CASE WHEN step_max % 120 <> 0 THEN total_runtime_sec END AS total_runtime_sec, "
-        "CASE WHEN step_max % 120 = 0 THEN '05_extract_graph_features' END AS failed_job FROM scaling",
+        "CASE WHEN step_max % 120 = 0 THEN 'graph_features' END AS failed_job FROM scaling",
     ),
     "report_runtime_summary": over_tx(*SCALING, "SELECT * FROM scaling ORDER BY master, step_max"),
     "report_runtime_series": over_tx(

@@ -726,7 +726,7 @@ def runs_union_ragged(tx):
     runs = sample.scaling_records(tx)
     fails = F.col("step_max") % 120 == 0
     failed = runs.filter(fails).drop("total_runtime_sec").withColumns(
-        {"status": F.lit("FAILED"), "failed_job": F.lit("05_extract_graph_features")}
+        {"status": F.lit("FAILED"), "failed_job": F.lit("graph_features")}
     )
     return reports.union_ragged(runs.filter(~fails), failed)
 

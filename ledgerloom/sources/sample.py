@@ -151,7 +151,7 @@ def scaling_records(tx: DataFrame) -> DataFrame:
         edges.alias("subset_rows"),
         F.sum("accounts").over(so_far).alias("vertex_count"),
         edges.alias("edge_count"),
-        F.round(edges / (cores * 100.0), 4).alias("05_extract_graph_features_sec"),
+        F.round(edges / (cores * 100.0), 4).alias("graph_features_sec"),
         F.round(edges / (cores * 50.0), 4).alias("total_runtime_sec"),
         F.lit("SUCCESS").alias("status"),
     )
