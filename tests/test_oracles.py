@@ -7,6 +7,8 @@ import pytest
 from check_oracles import TABLES, compare
 
 from __spark_entry__ import entry, oracle_sql, queries
+from ledgerloom.plans.oracles import ORACLES
+from ledgerloom.plans.queries import QUERIES
 
 LEARNED = {"ingest_summary_approx", "ml_baseline", "ml_ablation", "ml_graph_mlp"}
 
@@ -20,19 +22,20 @@ def db(small_dir):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(queries()) - set(oracle_sql()) == LEARNED
+    assert set(QUERIES) - set(ORACLES) == LEARNED
+    assert set(ORACLES) <= set(QUERIES) <= set(queries())
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, small_dir, db, name):
-    rows = queries()[name](spark, small_dir).toPandas()
-    assert compare(rows, db.execute(oracle_sql()[name]).df()).startswith("ok")
+    rows = QUERIES[name](spark, small_dir).toPandas()
+    assert compare(rows, db.execute(ORACLES[name]).df()).startswith("ok")
 
 
 @pytest.mark.parametrize("name", ["ml_ablation", "ml_graph_mlp"])
 def test_learned(spark, small_dir, name):
-    for row in queries()[name](spark, small_dir).collect():
+    for row in QUERIES[name](spark, small_dir).collect():
         assert all(0 <= v <= 1 for v in row.asDict().values() if isinstance(v, float))
 
 
