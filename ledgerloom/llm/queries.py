@@ -114,12 +114,16 @@ WITH item_words AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
   FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM doc_words
 ), places AS (
-  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc_words
+  SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS next FROM words
 ), matches AS (
   SELECT DISTINCT doc_id, i, n, item_id
-  FROM places, (SELECT DISTINCT n FROM windows) AS sizes JOIN windows USING (n)
-  WHERE i + n - 1 <= len(w) AND array_to_string(list_slice(w, i, i + n - 1), ' ') = phrase
+  FROM (
+    SELECT doc_id, i, n, array_to_string(list_slice(next, 1, n), ' ') AS phrase
+    FROM places, (SELECT DISTINCT n FROM windows) WHERE len(next) >= n
+  ) JOIN windows USING (n, phrase)
 ), hits AS (
   SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM matches) GROUP BY doc_id
 ), items AS (
