@@ -32,7 +32,7 @@ from ledgerloom.llm.text import Piece, pieces
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HIDDEN, STRETCH, SAMPLE, EPOCHS, BATCH, RATE, SEED = 8, 64, 1500, 8, 128, 0.01, 11
-HELD_OUT_OF, UNKNOWN, BLANK_BYTE, GROUP = 5, "und", 0x20, 2048
+HELD_OUT_OF, UNKNOWN, BLANK_BYTE, GROUP = 5, "und", 0x20, 4096
 
 
 @dataclass
@@ -108,9 +108,10 @@ class LanguageModel:
         logits = ahead.reshape(-1, HIDDEN) @ self.out_forward
         logits += np.ascontiguousarray(back).reshape(-1, HIDDEN) @ self.out_backward
         logits += self.bias
-        logits -= logits.max(axis=1, keepdims=True)
+        # States are within 1, so logits are small; a bound keeps exp finite whatever the weights.
+        np.clip(logits, -40.0, 40.0, out=logits)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits /= logits @ np.ones((logits.shape[1], 1), np.float32)
         return logits.reshape(*symbols.shape, -1), ahead, back
 
     def pooled(self, piece: Piece) -> np.ndarray:
