@@ -10,7 +10,7 @@ counts.
 The models are fitted on a bounded sample: at most ``SAMPLE`` labelled documents of
 either label, chosen by the hash of their id, half for the dictionaries (at most
 ``BLOCKS`` blocks a document) and half for the calibration. Class weights in the
-calibration come from the counts of all labels.
+calibration come from the counts of all training labels.
 
 Defined cases: null text counts as empty and gets the score of zero features; without
 labels, or with one label only, the score is a constant.
@@ -91,9 +91,8 @@ class QualityModel:
     calibration: Calibration
 
 
-def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+def _sample(docs: DataFrame, known: DataFrame, size: int) -> DataFrame:
     """(doc_id, text, label, place): at most ``size`` training documents of either label."""
-    known = known_labels(labels, "quality").filter(remainder(F.col("doc_id"), HELD_OUT_OF) != 0)
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
     # At most 2 * size rows: a proven bound.
@@ -101,8 +100,9 @@ def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> QualityModel:
-    sample = _sample(docs, labels, size)
-    counts = {r["label"]: r["n"] for r in known_labels(labels, "quality").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = known_labels(labels, "quality").filter(remainder(F.col("doc_id"), HELD_OUT_OF) != 0)
+    sample = _sample(docs, known, size)
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,6 +22,7 @@ the document after the last is the first, for a single document itself.
 from __future__ import annotations
 
 import hashlib
+import math
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -31,11 +32,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.graph import bucket_links, components
 from ledgerloom.llm.text import LOWER, Piece, find_words, hash_spans, members, mix, pieces
+from ledgerloom.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHAIN, CHUNK, COARSE = 2, 1 << 20, 256
+CHAIN, CHUNK, COARSE, SIMILARITY = 2, 1 << 20, 256, 0.8
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
     "a an and are as at be by for from had has he in is it not of on or that the this to was were which with "
@@ -80,7 +83,7 @@ def piece_signatures(piece: Piece, anchors: np.ndarray) -> tuple[np.ndarray, np.
     lacking = np.setdiff1d(np.arange(len(piece)), row)
     if len(lacking):
         whole = [
-            int.from_bytes(hashlib.sha256(b" ".join(_words(lowered, i)) or lowered.data[lowered.offsets[i] : lowered.offsets[i + 1]].tobytes()).digest()[:4], "big")
+            int.from_bytes(hashlib.sha256(b" ".join(_words(lowered, i)) or _raw(lowered, i).tobytes()).digest()[:4], "big")
             for i in lacking.tolist()
         ]
         row, signature = np.concatenate([row, lacking]), np.concatenate([signature, np.array(whole, np.uint32)])
@@ -88,8 +91,12 @@ def piece_signatures(piece: Piece, anchors: np.ndarray) -> tuple[np.ndarray, np.
     return (joined >> np.uint64(32)).astype(np.int64), (joined & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _raw(piece: Piece, i: int) -> np.ndarray:
+    return piece.data[piece.offsets[i] : piece.offsets[i + 1]]
+
+
 def _words(piece: Piece, i: int) -> list[bytes]:
-    own = piece.data[piece.offsets[i] : piece.offsets[i + 1]]
+    own = _raw(piece, i)
     return np.where(WORD[own], own, np.uint8(0x20)).tobytes().split()
 
 
@@ -227,3 +234,62 @@ def compare_neighbours(docs: DataFrame, anchors: str = ANCHORS) -> DataFrame:
         run,
         f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     )
+
+
+def fingerprints(docs: DataFrame, anchors: str = ANCHORS) -> DataFrame:
+    """(doc_id, key long, signatures binary): the set of each row of ``docs(doc_id, text)`` and a hash of it."""
+    hashes = anchor_hashes(anchors)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.tobytes() for s in signatures(batch.column("text").to_pylist(), hashes)]
+            keys = [int.from_bytes(hashlib.sha256(s).digest()[:8], "big", signed=True) for s in sets]
+            yield pa.record_batch(
+                {"doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.int64()), "signatures": pa.array(sets, pa.binary())}
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, signatures binary")
+
+
+def near_documents(docs: DataFrame, similarity: float = SIMILARITY, anchors: str = ANCHORS) -> DataFrame:
+    """(doc_id, class_id) for every row of ``docs(doc_id, text)``: documents linked, over any number of
+    steps, by fingerprints with Jaccard similarity of at least ``similarity`` share a class.
+
+    Two such sets of n <= m signatures have n >= similarity * m, so they lie in the same or in
+    neighbouring length partitions, and they share one of the n - ceil(similarity * n) + 1 rarest
+    signatures of either.
+    """
+    rows = materialize(fingerprints(docs, anchors), "signatures")
+    sets = materialize(rows.groupBy("key").agg(F.min("signatures").alias("signatures")), "sets")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(s, np.uint32) for s in batch.column("signatures").to_pylist()]
+            sizes = [len(p) for p in parts]
+            keys = np.repeat(batch.column("key").to_numpy(), sizes)
+            flat = np.concatenate([np.zeros(0, np.uint32), *parts]).astype(np.int64)
+            yield pa.record_batch({"key": pa.array(keys), "n": pa.array(np.repeat(sizes, sizes), pa.int64()), "signature": pa.array(flat)})
+
+    spread = sets.mapInArrow(unpack, "key long, n long, signature long")
+    rarity = spread.groupBy("signature").agg(F.count(F.lit(1)).alias("found"))
+    ordered = spread.join(rarity, "signature").groupBy("key", "n").agg(
+        F.sort_array(F.collect_list(F.struct("found", "signature"))).alias("rare")
+    )
+    prefix = F.slice("rare", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
+    partition = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similarity))
+    met = ordered.select("key", F.explode(prefix).alias("_rare"), partition.alias("_part")).select(
+        "key", F.explode(F.array("_part", F.col("_part") + 1)).alias("_part"), F.col("_rare.signature").alias("_signature")
+    )
+    members = met.select("key", F.xxhash64("_part", "_signature").alias("bucket")).distinct().join(sets, "key")
+
+    def close(values: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        own = values["signatures"]
+        pairs = ((np.frombuffer(own[i], np.uint32), np.frombuffer(own[j], np.uint32)) for i, j in zip(left, right))
+        return np.array([alike(a, b, similarity) >= similarity for a, b in pairs], bool)
+
+    found = components(bucket_links(members, "bucket", "key", ["signatures"], close))
+    least = rows.select("doc_id", "key").join(found.select(F.col("node").alias("key"), "root"), "key", "left")
+    rooted = least.withColumn("root", F.ifnull("root", "key"))
+    named = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return rooted.join(named, "root").select("doc_id", "class_id")

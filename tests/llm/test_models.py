@@ -1,0 +1,212 @@
+"""The trained operators: held-out accuracy, invariants of the models, awkward input."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from ledgerloom.llm import calibrate, language, quality, toxicity
+from ledgerloom.llm.text import pieces
+
+VOCABULARY = {
+    "en": "the of and to in that it was for on house river stone field water".split(),
+    "de": "der die und das nicht ist von für über schön straße wasser haus größe".split(),
+    "fr": "le la les des est une dans où été français être très garçon maison".split(),
+}
+INSULTS = ["zorp", "qux", "vilex"]
+
+
+def sentences(seed, n, words, extra=(), rate=0.0):
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        row = rng.choice(words, rng.integers(20, 60)).tolist()
+        row = [str(rng.choice(extra)) if len(extra) and rng.random() < rate else w for w in row]
+        out.append(" ".join(row))
+    return out
+
+
+def crc(doc_id, modulus):
+    return zlib.crc32(str(doc_id).encode()) % modulus
+
+
+AWKWARD = [(9000, None), (9001, ""), (9002, "?? 12 !!"), (None, "the river"), (9003, "w" * 300_000), (9001, "")]
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, make_docs):
+    """Half of the documents are junk, a third insults."""
+    clean = sentences(1, 300, VOCABULARY["en"])
+    rude = sentences(2, 150, VOCABULARY["en"], INSULTS, 0.1)
+    junk = [" ".join(w + "$%&*#"[i % 5] * 3 for i, w in enumerate(t.split())) for t in sentences(3, 150, VOCABULARY["en"])]
+    texts = [(t, 1, 0) for t in clean] + [(t, 1, 1) for t in rude] + [(t, 0, 0) for t in junk]
+    docs = make_docs(*[(i, t) for i, (t, _, _) in enumerate(texts)], *AWKWARD)
+    labels = [(i, q, x) for i, (_, q, x) in enumerate(texts)] + [(None, 1, 1), (1, 1, 0), (9000, None, None), (77777, 0, 1)]
+    return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), texts
+
+
+def accuracy(rows, truth):
+    pairs = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    return sum(p == t for p, t in pairs) / len(pairs)
+
+
+@pytest.mark.parametrize("module,place,modulus,remainder", [(quality, 1, 5, 0), (toxicity, 2, 4, 2)])
+def test_classifiers(labelled, module, place, modulus, remainder):
+    docs, labels, texts = labelled
+    found = module.score(docs, module.train(docs, labels)).collect()
+    assert len(found) == docs.count()
+    assert accuracy(found, {i: t[place] for i, t in enumerate(texts)}) > 0.95
+    for r in found:
+        assert 0.0 <= r.score <= 1.0 and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (r.doc_id is not None and crc(r.doc_id, modulus) == remainder)
+    assert len({r.score for r in found if r.doc_id in (9000, 9001)}) == 1
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_scores_ignore_held_out_labels(spark, labelled, module):
+    docs, labels, _ = labelled
+    modulus, remainder = (5, 0) if module is quality else (4, 2)
+    rows = [tuple(r) for r in labels.collect()]
+    turned = [(d, 1 - q, 1 - t) if d is not None and q is not None and crc(d, modulus) == remainder else (d, q, t) for d, q, t in rows]
+    other = spark.createDataFrame(turned, "doc_id long, quality int, toxic int")
+    before = sorted((str(r.doc_id), r.score) for r in module.score(docs, module.train(docs, labels)).collect())
+    after = sorted((str(r.doc_id), r.score) for r in module.score(docs, module.train(docs, other)).collect())
+    assert before == after
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_without_labels_or_documents(labelled, make_docs, module):
+    docs, labels, _ = labelled
+    found = module.score(docs, module.train(docs, labels.limit(0))).collect()
+    assert len({r.score for r in found}) == 1
+    assert module.score(make_docs(), module.train(make_docs(), labels)).count() == 0
+    one = labels.filter("quality = 1 and toxic = 0")
+    assert len({r.score for r in module.score(docs, module.train(docs, one)).collect()}) == 1
+
+
+def test_clean_documents_keep_their_columns(labelled):
+    docs, labels, _ = labelled
+    model = toxicity.train(docs, labels)
+    kept = toxicity.keep_clean(docs.withColumnRenamed("lang", "score"), model)
+    assert kept.columns == ["doc_id", "text", "score", "source", "n_chars"]
+    expected = toxicity.score(docs, model).filter("predicted = 0").count()
+    assert kept.count() == expected > 300
+
+
+def test_models_are_distributions():
+    rng = np.random.default_rng(4)
+    counts = [np.where(rng.random(toxicity.CELLS) < 0.01, rng.integers(1, 9, toxicity.CELLS), 0).astype(float) for _ in range(2)]
+    shared = toxicity.shared_model(counts[0] + counts[1])
+    assert shared.reshape(-1, toxicity.SYMBOLS).sum(axis=1) == pytest.approx(1.0)
+    for own in counts:
+        assert toxicity.class_model(own, shared).reshape(-1, toxicity.SYMBOLS).sum(axis=1) == pytest.approx(1.0)
+    # What neither class has seen is equally likely in both.
+    assert np.abs(toxicity.ratio_table(np.zeros(toxicity.CELLS), np.zeros(toxicity.CELLS))).max() == 0.0
+
+
+def test_grams_of_every_document():
+    table = toxicity.symbol_table()
+    texts = ["", "Ab", None, "z9 é", "x"]
+    for piece in pieces(pa.array(texts, pa.string())):
+        grams, starts = toxicity.gram_stream(piece, table)
+        for i, text in enumerate(texts):
+            symbols = [0, 0, 0, *table[list((text or "").encode())].tolist(), 0]
+            expected = [sum(s << 5 * (3 - k) for k, s in enumerate(symbols[j : j + 4])) for j in range(len(symbols) - 3)]
+            end = starts[i + 1] if i + 1 < len(starts) else len(grams)
+            assert grams[starts[i] : end].tolist() == expected
+
+
+def test_largest_stretch_is_found():
+    ratios = np.zeros(toxicity.CELLS, np.float32)
+    rng = np.random.default_rng(0)
+    ratios[:] = rng.normal(size=toxicity.CELLS)
+    table = toxicity.symbol_table()
+    for piece in pieces(pa.array(["the cat sat on the mat and then left", "a", ""])):
+        grams, starts = toxicity.gram_stream(piece, table)
+        found = toxicity.piece_features(piece, ratios, table)
+        for i in range(2):
+            own = ratios[grams[starts[i] : starts[i + 1]]].astype(float)
+            sums = [own[max(0, j + 1 - toxicity.STRETCH) : j + 1].sum() / toxicity.STRETCH for j in range(len(own))]
+            assert found[i] == pytest.approx([max(sums), own.mean()], rel=1e-5, abs=1e-6)
+        assert found[2].tolist() == [0.0, 0.0]
+
+
+@pytest.fixture(scope="module")
+def spoken(make_docs):
+    rows = [(n, t, lang, "s") for k, lang in enumerate(VOCABULARY) for n, t in enumerate(sentences(k, 120, VOCABULARY[lang]), 1000 * k)]
+    return make_docs(*rows, *[(d, t, None, "s") for d, t in AWKWARD])
+
+
+def test_languages(spoken):
+    found = language.predict(spoken, language.train(spoken)).collect()
+    assert len(found) == spoken.count()
+    truth = {r.doc_id: r.lang for r in spoken.collect() if r.lang}
+    held = [r for r in found if r.held_out and r.doc_id in truth]
+    assert held and sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
+    assert all(0.0 <= r.score <= 1.0 and r.held_out == (r.doc_id is not None and crc(r.doc_id, 5) == 0) for r in found)
+    assert {(r.lang_pred, r.score) for r in found if r.doc_id in (9000, 9001, 9002)} == {("und", 0.0)}
+    assert {r.lang_pred for r in found if r.doc_id == 9003} <= set(VOCABULARY)
+
+
+def test_nothing_to_learn_from(spoken, make_docs):
+    model = language.train(spoken.filter("lang is null"))
+    assert model is None
+    assert {r.lang_pred for r in language.predict(spoken, model).collect()} == {"und"}
+    assert language.predict(make_docs(), model).count() == 0
+
+
+def test_backpropagation_through_time(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = language._start(["a", "b", "c"], rng)
+    for p in model.parameters():
+        p += (rng.normal(size=p.shape) * 0.05).astype(np.float32)
+    symbols = rng.integers(97, 103, (12, 5)).astype(np.uint8)
+    target = rng.integers(0, 3, 5)
+
+    def loss():
+        found = model.positions(symbols)[0].astype(float)
+        return -np.log(found[:, np.arange(5), target]).mean()
+
+    found, ahead, back = model.positions(symbols)
+    error = found.copy()
+    error[:, np.arange(5), target] -= 1.0
+    error /= 12 * 5
+    grads = model.forward.gradients(symbols, ahead, error @ model.out_forward.T)
+    grads += model.backward.gradients(symbols[::-1], back[::-1], (error @ model.out_backward.T)[::-1])
+    for value, grad in zip(model.parameters(), grads):
+        at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        kept, step = value[at], 1e-2
+        value[at] = kept + step
+        up = loss()
+        value[at] = kept - step
+        down = loss()
+        value[at] = kept
+        assert (up - down) / (2 * step) == pytest.approx(grad[at], rel=0.08, abs=2e-5)
+
+
+def test_pooling_weighs_every_position():
+    model = language._start(["a", "b"], np.random.default_rng(0))
+    texts = ["x" * language.STRETCH + "y" * 10, "", "ab"]
+    (piece,) = pieces(pa.array(texts))
+    pooled = model.pooled(piece)
+    assert pooled[[0, 2]].sum(axis=1) == pytest.approx(1.0, rel=1e-4) and pooled[1].tolist() == [0.0, 0.0]
+    raw = np.frombuffer(texts[0].encode(), np.uint8)
+    rows = np.full((2, language.STRETCH), language.BLANK_BYTE, np.uint8)
+    rows[0], rows[1, :10] = raw[: language.STRETCH], raw[language.STRETCH :]
+    found = model.positions(np.ascontiguousarray(rows.T))[0]
+    expected = (found[:, 0].sum(axis=0) + found[:10, 1].sum(axis=0)) / len(raw)
+    assert pooled[0] == pytest.approx(expected, rel=1e-4)
+
+
+def test_calibration():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 2))
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - 1)))).astype(float)
+    model = calibrate.fit(x, y)
+    assert abs(model(x).mean() - y.mean()) < 0.01
+    weights = model.weights / model.scale
+    assert weights == pytest.approx([2.0, 0.0], abs=0.2)
+    assert calibrate.fit(x[:0], y[:0])(x[:1])[0] == pytest.approx(0.5)
