@@ -17,20 +17,22 @@ def clean_type(name: str = "type") -> Column:
     return F.upper(F.trim(name))
 
 
-def row_digest(columns: Iterable[str] = TRANSACTION_COLUMNS, canonical: str = "decimal") -> Column:
+def row_digest(columns: Iterable[str] = TRANSACTION_COLUMNS, canonical: str = "full") -> Column:
     """SHA-256 of the row's text, so equal rows get equal ids.
 
-    ``decimal`` prints money with two decimals, which every engine does alike;
-    ``spark`` prints doubles as Spark does.
+    ``full`` prints doubles whole, so rows that differ at all get different ids;
+    ``cents`` prints money with two decimals, which every engine does alike, and
+    is for amounts known to be whole cents. Amounts beyond 38 digits, or not
+    finite, are printed whole there too.
     """
-    if canonical not in ("decimal", "spark"):
-        raise ValueError(f"canonical must be 'decimal' or 'spark', not {canonical!r}")
+    if canonical not in ("full", "cents"):
+        raise ValueError(f"canonical must be 'full' or 'cents', not {canonical!r}")
 
     def text(name: str) -> Column:
-        value = F.col(name)
-        if canonical == "decimal" and name in MONEY_COLUMNS:
-            value = value.cast("decimal(18,2)")
-        return F.ifnull(value.cast("string"), F.lit("NULL"))
+        whole = F.col(name).cast("string")
+        if canonical == "cents" and name in MONEY_COLUMNS:
+            whole = F.ifnull(F.col(name).try_cast("decimal(38,2)").cast("string"), whole)
+        return F.ifnull(whole, F.lit("NULL"))
 
     return F.sha2(F.concat_ws("||", *map(text, columns)), 256)
 
@@ -74,9 +76,14 @@ def sigmoid(logit: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
 
+def is_scored(probability: Column) -> Column:
+    """Whether there is a probability to decide by."""
+    return ~F.ifnull(F.isnan(probability), F.lit(False)) & probability.isNotNull()
+
+
 def verdict(probability: Column, threshold: float, hit: str, miss: str) -> Column:
-    """``hit`` above the threshold (strictly), else ``miss``."""
-    return F.when(probability > threshold, hit).otherwise(miss)
+    """``hit`` above the threshold (strictly), else ``miss``; NULL without a probability."""
+    return F.when(is_scored(probability), F.when(probability > threshold, hit).otherwise(miss))
 
 
 def safe_ratio(top: Column, bottom: Column) -> Column:

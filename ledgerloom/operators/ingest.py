@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.expressions import HIGH_RISK_TYPES, clean_type, row_digest
 from ledgerloom.sources.schema import TRANSACTION_COLUMNS, require_columns
-from ledgerloom.sources.writers import day_of
+from ledgerloom.sources.writers import day_number, day_of
 
 IDENTIFYING = ["step", "nameOrig", "nameDest"]
 
@@ -21,11 +21,11 @@ def clean(raw: DataFrame) -> DataFrame:
     )
 
 
-def with_row_id(df: DataFrame, canonical: str = "decimal") -> DataFrame:
+def with_row_id(df: DataFrame, canonical: str = "full") -> DataFrame:
     return df.select(row_digest(canonical=canonical).alias("txn_id"), *TRANSACTION_COLUMNS)
 
 
-def ingest(raw: DataFrame, canonical: str = "decimal") -> DataFrame:
+def ingest(raw: DataFrame, canonical: str = "full") -> DataFrame:
     """Cleaned transactions with their content id first."""
     return with_row_id(clean(raw), canonical)
 
@@ -51,7 +51,7 @@ def step_range(df: DataFrame, low: int, high: int) -> DataFrame:
     if low > high:
         raise ValueError(f"empty step range: {low} > {high}")
     if "day" in df.columns:
-        days = F.col("day").between((low - 1) // 24, (high - 1) // 24)
+        days = F.col("day").between(day_number(low), day_number(high))
         df = df.filter(days).drop("day")
     return df.filter(F.col("step").between(low, high))
 

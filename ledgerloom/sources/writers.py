@@ -13,6 +13,12 @@ def day_of(step: str = "step"):
     return F.expr(f"({step} - 1) div {HOURS_PER_DAY}").cast("int")
 
 
+def day_number(step: int) -> int:
+    """``day_of`` of a known step: division rounds towards zero, as in SQL."""
+    whole = abs(step - 1) // HOURS_PER_DAY
+    return whole if step >= 1 else -whole
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -30,7 +36,7 @@ def write_by_day(df: DataFrame, path: str, rebalance: bool = True) -> None:
     dated.sortWithinPartitions("day", "step").write.mode("overwrite").partitionBy("day").parquet(path)
 
 
-def write_counted(df: DataFrame, path: str, by_day: bool = False) -> dict[str, int]:
+def write_counted(df: DataFrame, path: str, by_day: bool = False, rebalance: bool = True) -> dict[str, int]:
     """Write, then count rows and fraud rows from the sink.
 
     The plan runs once; the count reads one column of the new table. (Observed
@@ -38,7 +44,7 @@ def write_counted(df: DataFrame, path: str, by_day: bool = False) -> dict[str, i
     serialize fitted classifiers.)
     """
     if by_day:
-        write_by_day(df, path)
+        write_by_day(df, path, rebalance)
     else:
         write_table(df, path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
