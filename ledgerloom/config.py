@@ -7,6 +7,10 @@ from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
 
+# The steps of one full run, in order.
+PIPELINE = ["silver", "graph-tables", "tabular", "graph-features", "training-set", "train"]
+
+
 @dataclass(frozen=True)
 class Split:
     """Inclusive last step of the training and validation ranges."""
@@ -38,8 +42,12 @@ class RunConfig:
     split: Split = field(default_factory=Split)
     rank: RankSettings = field(default_factory=RankSettings)
     scaling: Scaling = field(default_factory=Scaling)
+    # Where the ingested transactions are, if not under ``root``.
+    bronze: str | None = None
 
     def layer(self, name: str) -> str:
+        if name == "bronze" and self.bronze:
+            return self.bronze
         return f"{self.root.rstrip('/')}/{name}"
 
     def to_json(self, path: str) -> None:

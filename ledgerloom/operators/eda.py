@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.ordering import percentiles
-from ledgerloom.session import join_counted
+from ledgerloom.session import materialize
 from ledgerloom.sources.schema import numeric_columns
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -132,7 +132,8 @@ def box_statistics(df: DataFrame, value: Column, within: str = "isFraud", approx
     reach = (F.col("q75") - F.col("q25")) * 1.5
     inside = F.col("x").between(F.col("q25") - reach, F.col("q75") + reach)
     return (
-        join_counted(rows, quartiles, [within])
+        # Stored, so that its measured size decides how to join.
+        rows.join(materialize(quartiles, "quartiles"), [within])
         .groupBy(within)
         .agg(
             *[F.first(q).alias(q) for q in QUARTILES],

@@ -81,7 +81,7 @@ def transition_probabilities(edge_table: DataFrame) -> DataFrame:
     source with a third of all pairs is split by adaptive skew handling.
     """
     pairs = weighted_pairs(edge_table)
-    totals = edge_table.groupBy("src").agg(F.count(F.lit(1)).alias("src_weight"))
+    totals = pairs.groupBy("src").agg(F.sum("edge_weight").alias("src_weight"))
     return pairs.join(totals, "src", "left").select(
         "src", "dst", (F.col("edge_weight") / F.col("src_weight")).alias("transition_prob")
     )

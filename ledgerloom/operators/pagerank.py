@@ -64,6 +64,7 @@ def rank_accounts(
     ``vertices * tolerance``, and running out of rounds is an error.
     """
     spark = edge_table.sparkSession
+    # The aggregates of each round come out this wide, so the links never move again.
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if weighted:
         pairs = weighted_pairs(edge_table)
@@ -107,6 +108,10 @@ def rank_accounts(
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
         held.append(links)
+        links.count()
+        # The links hold the same rows from here on.
+        held.remove(pairs)
+        pairs.unpersist()
 
         total = float(size.vertices)
         state = accounts.withColumn("pagerank", F.lit(1.0 / total))

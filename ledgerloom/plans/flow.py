@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.config import RunConfig, Split
+from ledgerloom.config import PIPELINE, RunConfig, Split
 from ledgerloom.functions.splits import proportional_bounds, split_label
 from ledgerloom.operators import (
     accounts,
@@ -29,11 +29,11 @@ from ledgerloom.operators import (
     training,
 )
 from ledgerloom.operators.training import NODE_FEATURES
-from ledgerloom.sources.readers import read_metrics, read_requests_text, read_table, read_transactions
+from ledgerloom.sources.readers import read_metrics, read_requests_text, read_stored, read_table, read_transactions
 from ledgerloom.sources.schema import TRANSACTION_COLUMNS
 from ledgerloom.sources.writers import write_counted, write_csv, write_json, write_ragged_csv, write_table
-from ledgerloom.streaming.jobs import run_available, score_stream
-from ledgerloom.streaming.sources import request_stream
+from ledgerloom.streaming.jobs import ingest_stream, latency_report, run_available, run_batches, write_decisions, write_feed
+from ledgerloom.streaming.sources import request_stream, table_stream, transaction_stream
 
 Step = Callable[[SparkSession, RunConfig], dict]
 STEPS: dict[str, Step] = {}
@@ -71,7 +71,8 @@ def silver(spark, config):
     span = config.min_step, config.max_step
     chosen = ingest.step_range(_layer(spark, config, "bronze"), *span)
     ingest.require_rows(not chosen.isEmpty(), *span)
-    write_counted(chosen, config.layer("silver"), by_day=True)
+    # Bronze is laid out by day already.
+    write_counted(chosen, config.layer("silver"), by_day=True, rebalance=False)
     return _first(ingest.subset_summary(_layer(spark, config, "silver"), *span))
 
 
@@ -131,14 +132,14 @@ def compare(spark, config):
     )
     write_csv(reports.latest_runs(runs), config.layer("reports/model_comparison"))
     summary = reports.comparison_summary(runs)
-    write_json(summary, config.layer("reports/best_models"))
+    write_json(reports.best_records(reports.latest_runs(runs)), config.layer("reports/best_models"))
     return _first(summary)
 
 
 @step
 def export_reports(spark, config):
     """Tables and plot series of the scaling runs and of the models."""
-    runs = spark.read.option("header", True).option("inferSchema", True).csv(config.layer("reports/scaling_results"))
+    runs = read_stored(spark, config.layer("reports/scaling_results_json"), reports.run_fields(list(learning.FEATURE_SETS)))
     records = read_metrics(spark, config.layer("reports/model_metrics"))
     if records is None:
         raise FileNotFoundError("metric records not found: run the train step first")
@@ -186,46 +187,93 @@ def pack(spark, config):
 
 @step
 def graph_model(spark, config):
-    """Edge classifier on both ends' features and their train-only neighbour means."""
+    """Edge classifier on both ends' features and neighbour means, stored for scoring.
+
+    Training rows hear training edges only; validation and test rows, and later
+    requests, hear the whole graph.
+    """
     statistics = _layer(spark, config, "edge_statistics")
     edges = accounts.normalize_edges(_layer(spark, config, "edge_features"), statistics)
     edges = training.assign_split(edges.withColumnsRenamed({"orig_id": "src", "dest_id": "dst"}), config.split)
     nodes = _layer(spark, config, "node_features").withColumnRenamed("node_id", "id")
-    heard = edges.filter(F.col("split") == "train").select("src", "dst")
-    vectors = neighbors.neighbor_mean(nodes, heard, NODE_FEATURES)
-    columns = list(accounts.EDGE_ATTRIBUTES)
-    for end in ("src", "dst"):
-        names = {c: f"{end}_{c}" for c in vectors.columns if c != "id"}
-        edges = edges.join(vectors.withColumnsRenamed({"id": end, **names}), end)
-        columns += names.values()
-    report = learning.graph_classifier(edges, columns)
+    vectors = neighbors.neighbor_mean(nodes.select("id", *NODE_FEATURES), edges.select("src", "dst"), NODE_FEATURES)
+    write_table(vectors.withColumnRenamed("id", "node_id"), config.layer("node_vectors"))
+    rows, columns = neighbors.edge_rows(edges, nodes, NODE_FEATURES)
+    write_table(rows.select("split", "isFraud", *accounts.EDGE_ATTRIBUTES, *columns), config.layer("edge_rows"))
+    rows = _layer(spark, config, "edge_rows")
+    model = learning.fit_edge_model(rows, [*accounts.EDGE_ATTRIBUTES, *columns])
+    model.save(config.layer("edge_model"))
+    report = learning.edge_report(model, rows)
     write_json(report, config.layer("reports/graph_model_metrics"))
     return _first(report)
 
 
 def _model(spark: SparkSession, config: RunConfig) -> scoring.ScoringModel:
-    profiles = scoring.account_profiles(
-        _layer(spark, config, "node_features"), _layer(spark, config, "account_ids")
-    )
-    return scoring.ScoringModel(profiles, _layer(spark, config, "edge_statistics"), neighbors.patterned_scorer())
+    """The stored model of the graph-model step; fails without one."""
+    profiles = scoring.account_profiles(_layer(spark, config, "node_vectors"), _layer(spark, config, "account_ids"))
+    trained = learning.EdgeModel.load(spark, config.layer("edge_model"))
+    return scoring.ScoringModel(profiles, _layer(spark, config, "edge_statistics"), trained)
 
 
 @step
 def score(spark, config):
     """Decisions for request files; requests that do not validate go to rejects."""
-    checked = scoring.validate_requests(read_requests_text(spark, config.layer("requests")))
-    write_table(scoring.rejected(checked), config.layer("rejects"))
-    decisions = scoring.decide(scoring.score_requests(scoring.accepted(checked), _model(spark, config)))
+    decisions, rejects = scoring.decide_requests(read_requests_text(spark, config.layer("requests")), _model(spark, config))
+    write_table(rejects, config.layer("rejects"))
     write_table(decisions, config.layer("decisions"))
     return _first(_layer(spark, config, "decisions").agg(F.count(F.lit(1)).alias("scored")))
 
 
 @step
 def score_arrivals(spark, config):
-    """The same decisions as a stream over the request files that have arrived."""
-    decisions = score_stream(request_stream(spark, config.layer("requests")), _model(spark, config))
-    query = run_available(decisions, config.layer("stream_decisions"), config.layer("stream_state"))
-    return {"batches": len(query.recentProgress)}
+    """The same decisions and rejects as a stream over the request files that have arrived."""
+    sink = write_decisions(_model(spark, config), config.layer("stream_decisions"), config.layer("stream_rejects"))
+    timings = config.layer("stream_timings")
+    run_batches(request_stream(spark, config.layer("requests")), sink, timings, config.layer("stream_state"))
+    return _first(latency_report(_layer(spark, config, "stream_timings")))
+
+
+@step
+def ingest_arrivals(spark, config):
+    """Raw files as they arrive, cleaned and identified, as a stream."""
+    arrived = ingest_stream(transaction_stream(spark, config.raw_csv))
+    run_available(arrived, config.layer("stream_bronze"), config.layer("stream_bronze_state"))
+    return _first(ingest.ingest_summary(_layer(spark, config, "stream_bronze")))
+
+
+def _test_requests(spark: SparkSession, config: RunConfig) -> DataFrame:
+    """High-risk transactions of the test part, with what the alert feed shows."""
+    risky = ingest.high_risk(_silver(spark, config)).filter(split_label(config.split) == "test")
+    return risky.withColumnRenamed("txn_id", "tx_id")
+
+
+def _scored_for_feed(rows: DataFrame, model: scoring.ScoringModel) -> DataFrame:
+    scored = scoring.score_requests(rows, model, ("step", "nameOrig", "nameDest", "isFraud"))
+    return scored.withColumnsRenamed({"tx_id": "txn_id", "probability": "p"})
+
+
+@step
+def alerts(spark, config):
+    """The alert feed over the high-risk test transactions, in order."""
+    write_table(_scored_for_feed(_test_requests(spark, config), _model(spark, config)), config.layer("test_scores"))
+    scored = _layer(spark, config, "test_scores")
+    write_table(scoring.alert_feed(scored), config.layer("alerts"))
+    return _first(scoring.run_report(scored))
+
+
+@step
+def alerts_arrivals(spark, config):
+    """The same transactions replayed as a stream of files, with the run's latency."""
+    write_table(_test_requests(spark, config), config.layer("test_requests"))
+    schema = _layer(spark, config, "test_requests").schema
+    model, feed = _model(spark, config), write_feed(config.layer("stream_alerts"))
+    run_batches(
+        table_stream(spark, config.layer("test_requests"), schema),
+        lambda batch, batch_id: feed(_scored_for_feed(batch, model), batch_id),
+        config.layer("stream_alert_timings"),
+        config.layer("stream_alert_state"),
+    )
+    return _first(latency_report(_layer(spark, config, "stream_alert_timings")))
 
 
 @step
@@ -270,9 +318,6 @@ def evaluate_scores(spark, config):
     return {row.split: row.asDict() for row in report.collect()}
 
 
-PIPELINE = ["silver", "graph-tables", "tabular", "graph-features", "training-set", "train"]
-
-
 def run(spark: SparkSession, config: RunConfig, names: list[str]) -> dict[str, dict]:
     """Run steps in order; the result holds each step's figures and seconds."""
     unknown = [n for n in names if n not in STEPS]
@@ -309,26 +354,28 @@ def scaling_runs(spark: SparkSession, config: RunConfig) -> DataFrame:
     frames = [spark.createDataFrame([record]) for record in records]
     table = reports.union_ragged(*frames)
     write_ragged_csv(table.coalesce(1), config.layer("reports/scaling_results"))
+    write_json(table.coalesce(1), config.layer("reports/scaling_results_json"))
     return table
 
 
 def _scaling_run(spark: SparkSession, config: RunConfig, master: str, partitions: int, last: int) -> dict:
     tag = master.translate(str.maketrans({"[": "", "]": "", "*": "star", ":": "_"}))
     name = f"exp_{tag}_p{partitions}_step{last}"
-    trial = replace(config, root=config.layer(f"scaling/{name}"), min_step=1, max_step=last, split=bounds_for(spark, last))
+    trial = replace(
+        config, root=config.layer(f"scaling/{name}"), bronze=config.layer("bronze"),
+        min_step=1, max_step=last, split=bounds_for(spark, last),
+    )
     record = {
         "experiment_id": name, "master": master, "step_max": last,
         "shuffle_partitions": partitions, "status": "SUCCESS",
     }
-    ingest_once = ingest.step_range(_layer(spark, config, "bronze"), 1, last)
     start = time.perf_counter()
-    write_counted(ingest_once, trial.layer("bronze"), by_day=True)
     for step_name in PIPELINE:
         label = step_name.replace("-", "_")
         try:
             figures = run(spark, trial, [step_name])[step_name]
         except Exception as error:
-            record |= {"status": "FAILED", "failed_job": label, "error": type(error).__name__}
+            record |= {"status": "FAILED", "failed_job": label, "error": f"{type(error).__name__}: {str(error)[:500]}"}
             break
         record[f"{label}_sec"] = figures["seconds"]
         if step_name == "silver":

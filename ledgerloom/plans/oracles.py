@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.operators.learning import FEATURE_SETS
 from ledgerloom.operators.neighbors import patterned_scorer
 from ledgerloom.operators.training import NODE_FEATURES
 from ledgerloom.plans.queries import SUBSET
@@ -40,7 +41,8 @@ TRAIN_LINKS = "links AS MATERIALIZED (SELECT nameOrig AS src, nameDest AS dst FR
 SCORED = """scored AS MATERIALIZED (
 SELECT *, 1 / (1 + exp(-z)) AS p FROM (
   SELECT *, -4.0e0 + 4.0e0 * CAST(oldbalanceOrg > 0 AND newbalanceOrig = 0 AS INTEGER)
-    + 1.0e0 * CAST(type IN ('TRANSFER', 'CASH_OUT') AS INTEGER) + 0.5e0 * (step % 3) AS z FROM tx))"""
+    + 1.0e0 * CAST(type IN ('TRANSFER', 'CASH_OUT') AS INTEGER) + 0.5e0 * (step % 3)
+    + CASE WHEN type = 'DEBIT' THEN 0.0e0 ELSE floor(amount / 50.0e0) * 0.001e0 END AS z FROM tx))"""
 SPLIT = "CASE WHEN step <= 480 THEN 'train' WHEN step <= 600 THEN 'val' ELSE 'test' END"
 ATTRIBUTES = """ln(1 + amount) AS log_amount, newbalanceOrig + amount - oldbalanceOrg AS errorBalanceOrig,
   oldbalanceDest + amount - newbalanceDest AS errorBalanceDest, CAST(type = 'TRANSFER' AS INTEGER) AS is_transfer"""
@@ -351,7 +353,15 @@ SWEEP = [
     coalesce(sum(pos) FILTER (NOT p > threshold), 0) AS fn FROM points, counts GROUP BY threshold)))""",
 ]
 FEED = """feed AS (SELECT txn_id, nameOrig, nameDest, CASE WHEN p > 0.5 THEN 'FRAUD' ELSE 'VALID' END AS prediction,
-  CASE WHEN isFraud = 1 THEN 'FRAUD' ELSE 'VALID' END AS actual, row_number() OVER (ORDER BY step, txn_id) AS ordinal FROM scored)"""
+  CASE WHEN isFraud = 1 THEN 'FRAUD' ELSE 'VALID' END AS actual, row_number() OVER (ORDER BY step, txn_id) AS ordinal
+  FROM scored WHERE type IN ('TRANSFER', 'CASH_OUT') AND step > 600)"""
+
+# What is damaged in the sample requests, first field first.
+REASON = (
+    "CASE WHEN nameOrig = nameDest THEN 'step: invalid' WHEN isFlaggedFraud = 1 THEN 'amount: invalid' "
+    "WHEN oldbalanceDest = 0 AND type = 'DEBIT' THEN 'nameDest: missing' END"
+)
+SOUND = "nameOrig <> nameDest AND isFlaggedFraud = 0 AND NOT (oldbalanceDest = 0 AND type = 'DEBIT')"
 
 # --- reports ---------------------------------------------------------------------------------
 
@@ -610,8 +620,7 @@ ORACLES: dict[str, str] = {
         "SELECT txn_id AS tx_id, CASE WHEN nameOrig = nameDest THEN NULL ELSE CAST(step AS DOUBLE) END AS step, "
         "CASE WHEN isFlaggedFraud = 1 THEN NULL ELSE amount END AS amount, "
         "CASE WHEN oldbalanceDest = 0 AND type = 'DEBIT' THEN NULL ELSE nameDest END AS nameDest, "
-        "CASE WHEN nameOrig = nameDest THEN 'step: invalid' WHEN isFlaggedFraud = 1 THEN 'amount: invalid' "
-        "WHEN oldbalanceDest = 0 AND type = 'DEBIT' THEN 'nameDest: missing' END AS reason FROM tx"
+        f"{REASON} AS reason FROM tx"
     ),
     "score_node_lookup": over_tx(
         *REQUEST_STEPS,
@@ -624,7 +633,9 @@ ORACLES: dict[str, str] = {
         + ", node_id IS NULL AS is_new_account FROM everyone LEFT JOIN nodes USING (account)",
     ),
     "score_batch": over_tx(*REQUEST_STEPS, *pair_steps("request_rows"), DECISIONS),
-    "stream_score": over_tx(*REQUEST_STEPS, *pair_steps("request_rows"), DECISIONS),
+    "stream_score": over_tx(*REQUEST_STEPS, *pair_steps("request_rows"), f"{DECISIONS} WHERE txn_id IN (SELECT txn_id FROM tx WHERE {SOUND})"),
+    "stream_rejects": over_tx(f"SELECT txn_id AS tx_id, {REASON} AS reason FROM tx WHERE NOT ({SOUND})"),
+    "score_trained": over_tx("SELECT txn_id AS transaction_id, true AS consistent, 'success' AS status FROM tx"),
     "score_report": over_tx(SCORED, "SELECT count(*) AS processed, count(*) FILTER (p > 0.5) AS alerts FROM scored"),
     "alerts_sampled": over_tx(SCORED, FEED, "SELECT * FROM feed WHERE prediction = 'FRAUD' OR ordinal % 50 = 0"),
     "alerts_first_rows": over_tx(
@@ -636,6 +647,11 @@ ORACLES: dict[str, str] = {
     "runs_union": over_tx(*RUNS, "SELECT * FROM runs"),
     "runs_dedup_latest": over_tx(*RUNS, "SELECT * FROM latest"),
     "runs_best_by_metric": over_tx(*RUNS, BEST, "SELECT * FROM best"),
+    "runs_best_records": over_tx(
+        *RUNS, BEST,
+        "SELECT b.metric, l.run_name, l.auc_pr, l.recall_at_0_5, l.f1_at_0_5, l.precision_at_0_5, l.source "
+        "FROM best AS b JOIN latest AS l USING (run_name)",
+    ),
     "runs_comparison_summary": over_tx(
         *RUNS, BEST,
         "SELECT (SELECT count(*) FROM latest) AS num_models_compared, "
@@ -665,7 +681,30 @@ ORACLES: dict[str, str] = {
         "CASE WHEN min(step) % 2 = 0 THEN CAST(min(step) AS DOUBLE) END AS vertex_count, CAST(count(*) AS DOUBLE) AS edge_count "
         "FROM tx GROUP BY nameOrig"
     ),
-    # learning
+    # sources and sinks
+    "source_csv": sql("SELECT * FROM raw"),
+    "source_requests_json": over_tx("SELECT * EXCLUDE (txn_id, isFraud, isFlaggedFraud), txn_id AS tx_id FROM tx"),
+    "source_metrics_json": over_tx(
+        SCORED, *records("older", 0.0),
+        "SELECT run_name, auc_pr, CAST(NULL AS DOUBLE) AS auc_roc, precision_at_0_5, recall_at_0_5, f1_at_0_5 FROM older",
+    ),
+    "split_frames": over_tx(f"SELECT txn_id, step, {SPLIT} AS frame FROM tx"),
+    # learning: what a fit must satisfy, with the counts of its test part
+    "ingest_summary_approx": sql(
+        "SELECT count(*) AS total_rows, CAST(sum(isFraud) AS BIGINT) AS fraud_rows, min(step) AS min_step, max(step) AS max_step, "
+        "true AS senders_near, true AS receivers_near FROM raw"
+    ),
+    **{
+        f"ml_{key}": over_tx(
+            "t AS (SELECT count(*) AS test_rows, CAST(sum(isFraud) AS BIGINT) AS test_fraud FROM tx WHERE step > 600)",
+            union_all([f"SELECT '{name}' AS run_name, *, true AS in_range, true AS above_base_rate FROM t" for name in names]),
+        )
+        for key, names in (("baseline", list(FEATURE_SETS)[:1]), ("ablation", list(FEATURE_SETS)))
+    },
+    "ml_graph_mlp": over_tx(
+        "SELECT 'test' AS split, count(*) AS test_rows, CAST(sum(isFraud) AS BIGINT) AS test_fraud, true AS in_range, "
+        "true AS above_base_rate FROM tx WHERE step > 600 AND type IN ('TRANSFER', 'CASH_OUT')"
+    ),
     "ml_type_index": over_tx(
         "c AS (SELECT type, count(*) AS n FROM tx GROUP BY type)",
         "SELECT type, CAST(row_number() OVER (ORDER BY n DESC, type) - 1 AS DOUBLE) AS type_index, n, "

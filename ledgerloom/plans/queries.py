@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.config import Split
 from ledgerloom.functions.expressions import EDGE_ATTRIBUTES
+from ledgerloom.functions import splits
 from ledgerloom.functions.splits import proportional_bounds, split_label
 from ledgerloom.operators import (
     accounts,
@@ -25,7 +27,10 @@ from ledgerloom.operators import (
     training,
 )
 from ledgerloom.operators.training import NODE_FEATURES
+from ledgerloom.session import scratch_path
 from ledgerloom.sources import sample
+from ledgerloom.sources.readers import read_metrics, read_requests_text, read_transactions
+from ledgerloom.sources.writers import write_csv, write_json
 from ledgerloom.streaming import jobs as streams
 from ledgerloom.streaming.sources import table_stream
 
@@ -67,7 +72,7 @@ def ingest_clean(spark, sf_dir):
 
 @query
 def ingest_txn_id(spark, sf_dir):
-    return ingest.ingest(sample.raw_transactions(spark, sf_dir))
+    return ingest.ingest(sample.raw_transactions(spark, sf_dir), canonical="cents")
 
 
 @query
@@ -78,7 +83,13 @@ def ingest_summary(spark, sf_dir):
 
 @query
 def ingest_summary_approx(spark, sf_dir):
-    return ingest.ingest_summary(sample.raw_transactions(spark, sf_dir))
+    """The sketches of distinct accounts, held against exact counts."""
+    raw = sample.raw_transactions(spark, sf_dir)
+    near = []
+    for side, account in (("senders", "nameOrig"), ("receivers", "nameDest")):
+        exact = raw.agg(F.count_distinct(account)).scalar()
+        near.append((F.abs(F.col(f"approx_distinct_{side}") / exact - 1) <= 0.15).alias(f"{side}_near"))
+    return ingest.ingest_summary(raw).select("total_rows", "fraud_rows", "min_step", "max_step", *near)
 
 
 @query
@@ -207,27 +218,35 @@ def pagerank_unweighted(tx):
     return rounded(pagerank.unweighted_rank(graph.edges(ingest.high_risk(tx))), 10, "pagerank")
 
 
-@over_silver
-def pagerank_txn_features(tx):
-    return rounded(pagerank.ranks_on_transactions(tx, _ranks(tx)), 10, *features.RANK_FEATURES)
+def ranks_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored ranks of the training edges, the input of all that uses ranks."""
+    return sample.stored(spark, sf_dir, "ranks", lambda: _ranks(sample.silver_transactions(spark, sf_dir)))
+
+
+@query
+def pagerank_txn_features(spark, sf_dir):
+    tx = sample.silver_transactions(spark, sf_dir)
+    return rounded(pagerank.ranks_on_transactions(tx, ranks_layer(spark, sf_dir)), 10, *features.RANK_FEATURES)
 
 
 # --- training rows ---------------------------------------------------------------
 
 
-@over_silver
-def training_dataset(tx):
+@query
+def training_dataset(spark, sf_dir):
     """Flagship: all 23 columns straight from the transactions."""
-    return rounded(training.training_rows(tx, _ranks(tx)), 10, *features.RANK_FEATURES)
+    tx = sample.silver_transactions(spark, sf_dir)
+    return rounded(training.training_rows(tx, ranks_layer(spark, sf_dir)), 10, *features.RANK_FEATURES)
 
 
-@over_silver
-def training_dataset_joined(tx):
+@query
+def training_dataset_joined(spark, sf_dir):
     """The same table by joining the three feature tables on the row id."""
+    tx = sample.silver_transactions(spark, sf_dir)
     tables = (
         features.tabular_features(tx),
         features.degree_features(tx),
-        pagerank.ranks_on_transactions(tx, _ranks(tx)),
+        pagerank.ranks_on_transactions(tx, ranks_layer(spark, sf_dir)),
     )
     return rounded(training.join_feature_tables(*tables), 10, *features.RANK_FEATURES)
 
@@ -336,7 +355,7 @@ def nodes_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored training rows, the input of the learning queries."""
     tx = sample.silver_transactions(spark, sf_dir)
-    return sample.stored(spark, sf_dir, "training_rows", lambda: training.training_rows(tx, _ranks(tx)))
+    return sample.stored(spark, sf_dir, "training_rows", lambda: training.training_rows(tx, ranks_layer(spark, sf_dir)))
 
 
 def _normalized(edges: DataFrame) -> DataFrame:
@@ -625,6 +644,21 @@ def score_batch(spark, sf_dir):
     return scoring.decide(scoring.score_requests(requests, _model(spark, sf_dir)))
 
 
+@query
+def score_trained(spark, sf_dir):
+    """Decisions of the stored, trained edge classifier: every request, each action as its probability says."""
+    edges, path = _edge_rows(spark, sf_dir)
+    learning.fit_edge_model(*edges).save(path)
+    model = scoring.ScoringModel(_vectors(spark, sf_dir), _model(spark, sf_dir).statistics, learning.EdgeModel.load(spark, path))
+    requests = scoring.requests_from(sample.silver_transactions(spark, sf_dir))
+    decided = scoring.decide(scoring.score_requests(requests, model))
+    blocked = F.col("fraud_probability") > scoring.BLOCK_THRESHOLD
+    edge = F.abs(F.col("fraud_probability") - scoring.BLOCK_THRESHOLD) <= 0.0001  # rounded for the response
+    known = F.col("fraud_probability").between(0.0, 1.0)
+    consistent = known & (edge | (blocked == (F.col("action") == "BLOCK")))
+    return decided.select("transaction_id", consistent.alias("consistent"), "status")
+
+
 @over_silver
 def score_report(tx):
     return scoring.run_report(sample.with_scores(tx))
@@ -634,8 +668,9 @@ FEED_COLUMNS = ["txn_id", "nameOrig", "nameDest", "prediction", "actual"]
 
 
 def _feed(tx: DataFrame) -> DataFrame:
-    """Only the columns that the alert feed shows or orders by."""
-    return sample.with_scores(tx).select("step", "txn_id", "nameOrig", "nameDest", "p", "isFraud")
+    """High-risk transactions of the test part, with the columns that the feed shows or orders by."""
+    tested = ingest.high_risk(tx).filter(split_label(SPLIT) == "test")
+    return sample.with_scores(tested).select("step", "txn_id", "nameOrig", "nameDest", "p", "isFraud")
 
 
 @over_silver
@@ -645,7 +680,7 @@ def alerts_sampled(tx):
 
 @over_silver
 def alerts_first_rows(tx):
-    """The feed over the first 2,000 transactions only: the cap is the feature."""
+    """The feed over the first 2,000 of them only: the cap is the feature."""
     return scoring.alert_feed(_feed(tx), max_rows=2000).select(*FEED_COLUMNS, "ordinal")
 
 
@@ -659,20 +694,30 @@ def _raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.derive(_line_stream(spark, sf_dir), sf_dir)
 
 
+def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as text cells, some of them damaged."""
+    return sample.request_texts(streams.ingest_stream(_raw_stream(spark, sf_dir), canonical="cents"))
+
+
 @query
 def stream_ingest(spark, sf_dir):
-    return streams.drain(streams.ingest_stream(_raw_stream(spark, sf_dir)), "stream_ingest")
+    return streams.drain(streams.ingest_stream(_raw_stream(spark, sf_dir), canonical="cents"), "stream_ingest")
 
 
 @query
 def stream_score(spark, sf_dir):
-    requests = scoring.requests_from(streams.ingest_stream(_raw_stream(spark, sf_dir)))
-    return streams.drain(streams.score_stream(requests, _model(spark, sf_dir)), "stream_score")
+    return streams.drain(streams.score_stream(_request_stream(spark, sf_dir), _model(spark, sf_dir)), "stream_score")
+
+
+@query
+def stream_rejects(spark, sf_dir):
+    return streams.drain(streams.reject_stream(_request_stream(spark, sf_dir)), "stream_rejects")
 
 
 @query
 def stream_alerts(spark, sf_dir):
-    scored = sample.with_scores(streams.ingest_stream(_raw_stream(spark, sf_dir)))
+    arrived = ingest.high_risk(streams.ingest_stream(_raw_stream(spark, sf_dir), canonical="cents"))
+    scored = sample.with_scores(arrived.filter(split_label(SPLIT) == "test"))
     return streams.drain(streams.alert_stream(scored).select(*FEED_COLUMNS), "stream_alerts")
 
 
@@ -705,11 +750,13 @@ def runs_best_by_metric(tx):
 
 
 @over_silver
-def runs_comparison_summary(tx):
-    return reports.comparison_summary(_runs(tx))
+def runs_best_records(tx):
+    return reports.best_records(reports.latest_runs(_runs(tx)))
 
 
-TYPES = ["CASH_IN", "CASH_OUT", "DEBIT", "PAYMENT", "TRANSFER"]
+@over_silver
+def runs_comparison_summary(tx):
+    return reports.comparison_summary(_runs(tx))
 
 
 @over_silver
@@ -717,7 +764,7 @@ def runs_metrics_wide(tx):
     records = sample.metric_records(tx, SPLIT).select(
         F.concat(F.lit("exp_"), F.col("split")).alias("experiment_id"), F.col("type").alias("run_name"), "auc_pr", "f1_at_0_5"
     )
-    return reports.widen_metrics(records, TYPES, ["auc_pr", "f1_at_0_5"])
+    return reports.widen_metrics(records, metrics=["auc_pr", "f1_at_0_5"])
 
 
 @over_silver
@@ -760,27 +807,85 @@ def ml_type_index(tx):
     return learning.type_indices(tx.select("type"))
 
 
+def _evidence(records: DataFrame, tested: DataFrame, area: str, figures: list[str], *names: str) -> DataFrame:
+    """What SQL can confirm of a fit: its test part's counts, and that its figures are sound."""
+    if "test_rows" not in records.columns:
+        rows, fraud = tested.agg(F.count(F.lit(1))).scalar(), tested.agg(F.sum("isFraud")).scalar()
+        records = records.withColumns({"test_rows": rows, "test_fraud": fraud})
+    sound = functools.reduce(Column.__and__, [F.col(c).between(0.0, 1.0) for c in figures])
+    above = F.col(area) > F.col("test_fraud") / F.col("test_rows")
+    return records.select(*names, "test_rows", "test_fraud", sound.alias("in_range"), above.alias("above_base_rate"))
+
+
+def _ablation(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    rows = training_layer(spark, sf_dir)
+    records = learning.ablation(rows, SPLIT, names or tuple(learning.FEATURE_SETS))
+    tested = rows.filter(split_label(SPLIT) == "test")
+    return _evidence(records, tested, "auc_pr", list(reports.RUN_METRICS), "run_name")
+
+
 @query
 def ml_baseline(spark, sf_dir):
-    return learning.ablation(training_layer(spark, sf_dir), SPLIT, ["baseline_tabular"])
+    return _ablation(spark, sf_dir, "baseline_tabular")
 
 
 @query
 def ml_ablation(spark, sf_dir):
-    return learning.ablation(training_layer(spark, sf_dir), SPLIT)
+    return _ablation(spark, sf_dir)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account profiles for the trained classifier: node features and whole-graph neighbour means."""
+    nodes, edges = _graph(spark, sf_dir)
+    means = neighbors.neighbor_mean(nodes.select("id", *NODE_FEATURES), edges.select("src", "dst"), NODE_FEATURES)
+    return nodes.select("id", "account").join(means, "id").drop("id")
+
+
+def _edge_rows(spark: SparkSession, sf_dir: str) -> tuple[tuple[DataFrame, list[str]], str]:
+    """Stored rows of the edge classifier with its input columns, and a path for the fitted model."""
+    nodes, edges = _graph(spark, sf_dir)
+    labelled = training.assign_split(_normalized(edges), SPLIT)
+    rows, columns = neighbors.edge_rows(labelled, nodes, NODE_FEATURES)
+    columns = [*EDGE_ATTRIBUTES, *columns]
+    stored = sample.stored(spark, sf_dir, "edge_rows", lambda: rows.select("split", "isFraud", *columns))
+    return (stored, columns), scratch_path(spark, "edge_model")
 
 
 @query
 def ml_graph_mlp(spark, sf_dir):
-    """Edge classifier on both ends' features, their train-only neighbour means and
-    the normalized edge attributes."""
-    nodes, edges = _graph(spark, sf_dir)
-    heard = edges.filter(split_label(SPLIT) == "train").select("src", "dst")
-    vectors = neighbors.neighbor_mean(nodes.select("id", *NODE_FEATURES), heard, NODE_FEATURES)
-    joined = training.assign_split(_normalized(edges), SPLIT)
-    columns = list(EDGE_ATTRIBUTES)
-    for end in ("src", "dst"):
-        names = {c: f"{end}_{c}" for c in [*NODE_FEATURES, *MEANS]}
-        joined = joined.join(vectors.withColumnsRenamed({"id": end, **names}), end)
-        columns += names.values()
-    return learning.graph_classifier(joined, columns)
+    """Edge classifier on both ends' features, their neighbour means and the normalized edge attributes."""
+    (rows, columns), _ = _edge_rows(spark, sf_dir)
+    report = learning.edge_report(learning.fit_edge_model(rows, columns), rows)
+    return _evidence(report, rows, "pr_auc", ["f1", "precision", "recall", "pr_auc"], "split")
+
+
+# --- sources and sinks: written to the shared folder and read back -----------------------------------
+
+
+@query
+def source_csv(spark, sf_dir):
+    path = scratch_path(spark, "csv")
+    write_csv(sample.raw_transactions(spark, sf_dir), path)
+    return read_transactions(spark, path)
+
+
+@over_silver
+def source_requests_json(tx):
+    path = scratch_path(tx.sparkSession, "requests")
+    write_json(scoring.requests_from(tx), path)
+    return scoring.accepted(scoring.validate_requests(read_requests_text(tx.sparkSession, path)))
+
+
+@over_silver
+def source_metrics_json(tx):
+    path = scratch_path(tx.sparkSession, "metrics")
+    write_json(sample.metric_records(tx, SPLIT), path)
+    return read_metrics(tx.sparkSession, path)
+
+
+@over_silver
+def split_frames(tx):
+    """The three frames of a split, put together again under their names."""
+    parts = splits.split_frames(tx, SPLIT).items()
+    named = [frame.select("txn_id", "step", F.lit(name).alias("frame")) for name, frame in parts]
+    return functools.reduce(DataFrame.unionByName, named)

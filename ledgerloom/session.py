@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -79,15 +78,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-SMALL_ROWS = 100_000
-
-
-def join_counted(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join that broadcasts ``right`` only after counting it.
-
-    Up to ``SMALL_ROWS`` rows are broadcast; more take the ordinary shuffle join.
-    """
-    right = cut_lineage(right)
-    return left.join(F.broadcast(right) if right.count() <= SMALL_ROWS else right, on)

@@ -26,6 +26,7 @@ def _schema(cells: dict[str, T.DataType]) -> T.StructType:
 
 TRANSACTION_SCHEMA = _schema(ACCOUNT_CELLS | LABEL_CELLS)
 REQUEST_SCHEMA = _schema({"tx_id": TEXT} | ACCOUNT_CELLS)
+REQUEST_TEXT_SCHEMA = _schema(dict.fromkeys(REQUEST_SCHEMA.fieldNames(), TEXT))
 METRIC_SCHEMA = _schema(METRIC_CELLS)
 
 TRANSACTION_COLUMNS = TRANSACTION_SCHEMA.fieldNames()

@@ -10,8 +10,6 @@ from __spark_entry__ import entry, oracle_sql, queries
 from ledgerloom.plans.oracles import ORACLES
 from ledgerloom.plans.queries import QUERIES
 
-LEARNED = {"ingest_summary_approx", "ml_baseline", "ml_ablation", "ml_graph_mlp"}
-
 
 @pytest.fixture(scope="module")
 def db(small_dir):
@@ -22,8 +20,7 @@ def db(small_dir):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(QUERIES) - set(ORACLES) == LEARNED
-    assert set(ORACLES) <= set(QUERIES) <= set(queries())
+    assert set(ORACLES) == set(QUERIES) <= set(queries())
     assert set(oracle_sql()) <= set(queries())
 
 
@@ -33,12 +30,6 @@ def test_query(spark, small_dir, db, name):
     assert compare(rows, db.execute(ORACLES[name]).df()).startswith("ok")
 
 
-@pytest.mark.parametrize("name", ["ml_ablation", "ml_graph_mlp"])
-def test_learned(spark, small_dir, name):
-    for row in QUERIES[name](spark, small_dir).collect():
-        assert all(0 <= v <= 1 for v in row.asDict().values() if isinstance(v, float))
-
-
 def test_entry(spark, small_dir):
     frame = entry(spark)
     assert len(frame.columns) == 23 and frame.count() == 6000
