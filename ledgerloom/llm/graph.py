@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 from collections.abc import Callable, Iterator
 
@@ -47,49 +48,45 @@ def components(links: DataFrame) -> DataFrame:
             )
 
 
-def forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Places of the links to keep so that the same nodes stay joined, one fewer than nodes per tree."""
-    parent: dict[int, int] = {}
-
-    def top(i: int) -> int:
-        while (up := parent.get(i, i)) != i:
-            parent[i] = parent.get(up, up)
-            i = up
-        return i
-
-    kept = []
-    for place, (i, j) in enumerate(zip(left.tolist(), right.tolist())):
-        a, b = top(i), top(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append(place)
-    return np.array(kept, dtype=np.int64)
-
-
 def _linked(
     values: dict[str, np.ndarray],
     group: np.ndarray,
     may_meet: Callable[[np.ndarray, np.ndarray], np.ndarray],
     close: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray],
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``group``: rows are compared with those 1, 2, ... places on."""
+    """Links within runs of equal ``group``: rows are compared with those 1, 2, ... places on.
+
+    Rows that are joined already, over any number of links, need no comparison, so the
+    links form a forest and alike rows cost about one comparison each.
+    """
     changes = np.flatnonzero(np.diff(group)) + 1
     ends = np.repeat(np.append(changes, len(group)), np.diff(np.concatenate([[0], changes, [len(group)]])))
-    found_left, found_right = [], []
+    parent = np.arange(len(group))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i] = parent[parent[i]]
+        return int(i)
+
+    kept: list[tuple[int, int]] = []
     rows, step = np.arange(len(group)), 1
     while len(rows := rows[rows + step < ends[rows]]):
         others = rows + step
-        may = may_meet(rows, others)
-        left, right = rows[may], others[may]
+        open_pairs = (parent[rows] != parent[others]) & may_meet(rows, others)
+        left, right = rows[open_pairs], others[open_pairs]
         good = close(values, left, right)
-        found_left.append(left[good])
-        found_right.append(right[good])
+        before = len(kept)
+        for i, j in zip(left[good].tolist(), right[good].tolist()):
+            a, b = top(i), top(j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                kept.append((i, j))
+        if len(kept) > before:
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
         step += 1
-    if not found_left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    left, right = np.concatenate(found_left), np.concatenate(found_right)
-    kept = forest(left, right)
-    return left[kept], right[kept]
+    chosen = np.array(kept, np.int64).reshape(-1, 2)
+    return chosen[:, 0], chosen[:, 1]
 
 
 def bucket_links(
@@ -103,24 +100,27 @@ def bucket_links(
 
     ``members`` has ``bucket`` (long), ``node`` (long, distinct within a bucket) and
     ``columns``. ``close(values, left, right)`` says for pairs of places whether
-    they are linked. Every pair of a bucket is looked at by some task; a bucket of
-    more than ``CHUNK`` members is cut into chunks and each pair of chunks is a
-    group of its own, so no task holds more than two chunks of one bucket and no
-    pair that fails is ever written.
+    they are linked. Every pair of a bucket that is not joined yet is looked at by some
+    task. Buckets of up to ``CHUNK`` members are worked through where counting them has
+    put them; a larger one is cut into chunks and each pair of chunks is a group of its
+    own, so no task holds more than two chunks of one bucket and no pair that fails is
+    ever written.
     """
     names = list(dict.fromkeys([node, *columns]))
     within = Window.partitionBy(bucket)
     sized = members.select(bucket, *names).withColumn("_n", F.count(F.lit(1)).over(within)).filter("_n > 1")
-    placed = sized.withColumn("_chunks", F.ceil(F.col("_n") / CHUNK).cast("int")).withColumn(
-        "_mine", F.pmod(F.xxhash64(node), F.col("_chunks")).cast("int")
+    whole = sized.filter(F.col("_n") <= CHUNK).select(
+        bucket, F.lit(0).alias("_low"), F.lit(0).alias("_high"), F.lit(0).alias("_mine"), *names
     )
+    placed = sized.filter(F.col("_n") > CHUNK).withColumn("_chunks", F.ceil(F.col("_n") / CHUNK).cast("int"))
     # A chunk meets itself and every other chunk once.
     met = F.transform(
         F.sequence(F.lit(0), F.col("_chunks") - 1),
         lambda other: F.struct(F.least("_mine", other).alias("low"), F.greatest("_mine", other).alias("high")),
     )
     group = [bucket, "_low", "_high"]
-    spread = placed.withColumn("_met", F.explode(met)).select(
+    chunk = F.pmod(F.xxhash64(node), F.col("_chunks")).cast("int")
+    spread = placed.withColumn("_mine", chunk).withColumn("_met", F.explode(met)).select(
         bucket, F.col("_met.low").alias("_low"), F.col("_met.high").alias("_high"), "_mine", *names
     )
 
@@ -154,8 +154,12 @@ def bucket_links(
         if waiting is not None:
             yield links_of(waiting)
 
-    laid_out = spread.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group)
-    return laid_out.mapInArrow(link, "a long, b long")
+    dealt = spread.repartition(*[F.col(c) for c in group])
+    return functools.reduce(
+        DataFrame.unionByName,
+        # The smaller buckets lie sorted after the count, so this sort costs them nothing.
+        [part.sortWithinPartitions(*keys).mapInArrow(link, "a long, b long") for part, keys in ((whole, [bucket]), (dealt, group))],
+    )
 
 
 def near_prints(radius: int) -> Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]:

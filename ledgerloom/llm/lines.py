@@ -120,24 +120,22 @@ def line_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def block_pairs(classes: DataFrame) -> DataFrame:
-    """(bucket, key, print): every class once for each pair of its fingerprint's blocks."""
+def block_pairs(prints: DataFrame) -> DataFrame:
+    """(bucket, print): every distinct fingerprint once for each pair of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = batch.column("print").to_numpy().view(np.uint64)
+            values = batch.column("print").to_numpy().view(np.uint64)
             shift, parts = 0, []
             for bits in BLOCKS:
-                parts.append((prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1))
+                parts.append((values >> np.uint64(shift)) & np.uint64((1 << bits) - 1))
                 shift += bits
             for i in range(len(BLOCKS)):
                 for j in range(i + 1, len(BLOCKS)):
                     bucket = np.uint64((i * len(BLOCKS) + j) << 26) | (parts[i] << np.uint64(13)) | parts[j]
-                    yield pa.record_batch(
-                        {"bucket": pa.array(bucket.view(np.int64)), "key": batch.column("key"), "print": batch.column("print")}
-                    )
+                    yield pa.record_batch({"bucket": pa.array(bucket.view(np.int64)), "print": batch.column("print")})
 
-    return classes.select("key", "print").mapInArrow(run, "bucket long, key long, print long")
+    return prints.mapInArrow(run, "bucket long, print long")
 
 
 def similar_lines(a: bytes, b: bytes, floor: float = SIMILARITY) -> bool:
@@ -154,20 +152,29 @@ def similar_lines(a: bytes, b: bytes, floor: float = SIMILARITY) -> bool:
         a, b = a[:-1], b[:-1]
     if max(len(a), len(b)) <= most:
         return True
-    return _distance(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), most) <= most
-
-
-def _distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance, row by row with vectorised minima; ``most + 1`` as soon as it exceeds ``most``."""
-    places = np.arange(len(b) + 1)
-    row = places.copy()
-    for i, byte in enumerate(a.tolist(), 1):
-        change = np.minimum(row[1:] + 1, row[:-1] + (b != byte))
-        step = np.concatenate([[i], change]) - places
-        row = np.minimum.accumulate(step) + places
-        if row.min() > most:
-            return most + 1
-    return int(row[-1])
+    return _distance(a, b) <= most
+
+
+def _distance(a: bytes, b: bytes) -> int:
+    """Edit distance by bit-parallel columns: integer bit i stands for place i of ``a``."""
+    if not a or not b:
+        return max(len(a), len(b))
+    places: dict[int, int] = {}
+    for i, byte in enumerate(a):
+        places[byte] = places.get(byte, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    # Where a column rises by one, and where it falls by one.
+    rise, fall, distance = full, 0, len(a)
+    for byte in b:
+        match = places.get(byte, 0)
+        diagonal = (((match & rise) + rise) ^ rise) | match | fall
+        up = fall | ~(diagonal | rise) & full
+        down = rise & diagonal
+        distance += bool(up & last) - bool(down & last)
+        up = (up << 1 | 1) & full
+        rise = (down << 1 | ~(diagonal | up)) & full
+        fall = up & diagonal
+    return distance
 
 
 def close_lines(values: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -183,8 +190,11 @@ def line_groups(table: DataFrame) -> DataFrame:
     """(key, root) for every class that is linked to another; ``table`` is a stored line table."""
     classes = table.filter("key is not null").groupBy("key").agg(F.min("print").alias("print"))
     classes = materialize(classes, "classes")
-    candidates = components(bucket_links(block_pairs(classes), "bucket", "key", ["print"], near_prints(RADIUS)))
-    candidates = materialize(candidates.select(F.col("node").alias("key"), F.col("root").alias("bucket")), "candidates")
+    close = components(bucket_links(block_pairs(classes.select("print").distinct()), "bucket", "print", ["print"], near_prints(RADIUS)))
+    grouped = classes.join(close.withColumnRenamed("node", "print"), "print", "left")
+    grouped = grouped.select("key", F.ifnull("root", "print").alias("bucket"))
+    several = grouped.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    candidates = materialize(grouped.join(several, "bucket"), "candidates")
     # Texts of candidate classes only; their keys are broadcast if they are counted to be few.
     few = candidates.count() <= BROADCAST_ROWS
     wanted = table.filter("normal is not null").select("key", "print", "normal").join(

@@ -25,6 +25,7 @@ def distance(a, b):
 @settings(max_examples=300, deadline=None)
 def test_edit_similarity(a, b):
     longer = max(len(a), len(b))
+    assert lines._distance(a, b) == distance(a, b)
     expected = longer == 0 or distance(a, b) <= int(0.2 * longer + 1e-9)
     assert lines.similar_lines(a, b) == expected
 
