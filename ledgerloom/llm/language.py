@@ -31,7 +31,8 @@ from ledgerloom.llm.text import Piece, pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-HIDDEN, STRETCH, SAMPLE, EPOCHS, BATCH, RATE, SEED = 8, 64, 1500, 8, 128, 0.01, 11
+#: Up to 1,000 a language, Spark drops all others of a hot one before the shuffle.
+HIDDEN, STRETCH, SAMPLE, EPOCHS, BATCH, RATE, SEED = 8, 64, 1000, 12, 128, 0.01, 11
 HELD_OUT_OF, UNKNOWN, BLANK_BYTE, GROUP = 5, "und", 0x20, 4096
 
 
