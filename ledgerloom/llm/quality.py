@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.calibrate import Calibration, constant, fit
@@ -92,9 +92,9 @@ class QualityModel:
 
 
 def _sample(docs: DataFrame, known: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text, label, place): at most ``size`` training documents of either label."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
+    """(doc_id, text, label, fold): at most ``size`` training documents of either label."""
+    some = [known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for label in (0, 1)]
+    chosen = some[0].unionByName(some[1]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)))
     # At most 2 * size rows: a proven bound.
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
@@ -114,13 +114,13 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> QualityMode
                 out_block += [parts[i] for i in sorted(chosen.tolist())]
             yield pa.record_batch({"label": pa.array(out_label, pa.int32()), "block": pa.array(out_block, pa.binary())})
 
-    rows = sample.filter("place % 2 = 1").select("label", "doc_id", "text").mapInArrow(cut, "label int, block binary").collect()
+    rows = sample.filter("fold = 1").select("label", "doc_id", "text").mapInArrow(cut, "label int, block binary").collect()
     material = {label: sorted(bytes(r["block"]) for r in rows if r["label"] == label) for label in (0, 1)}
     if not material[0] or not material[1]:
         total = sum(counts.values())
         return QualityModel(None, constant(FEATURES, counts.get(1, 0) / total if total else 0.5))
     compressors = Compressors(dictionary_of(material[1]), dictionary_of(material[0]))
-    measured = _features(sample.filter("place % 2 = 0").select("label", "text"), compressors, ["label"]).collect()
+    measured = _features(sample.filter("fold = 0").select("label", "text"), compressors, ["label"]).collect()
     if not measured:
         return QualityModel(compressors, constant(FEATURES, counts.get(1, 0) / sum(counts.values())))
     values = np.array([r["features"] for r in sorted(measured)], dtype=float)
