@@ -218,7 +218,8 @@ def _model(spark: SparkSession, config: RunConfig) -> scoring.ScoringModel:
 @step
 def score(spark, config):
     """Decisions for request files; requests that do not validate go to rejects."""
-    decisions, rejects = scoring.decide_requests(read_requests_text(spark, config.layer("requests")), _model(spark, config))
+    model = _model(spark, config)
+    decisions, rejects = scoring.decide_requests(read_requests_text(spark, config.layer("requests")), model)
     write_table(rejects, config.layer("rejects"))
     write_table(decisions, config.layer("decisions"))
     return _first(_layer(spark, config, "decisions").agg(F.count(F.lit(1)).alias("scored")))
