@@ -17,7 +17,7 @@ from ledgerloom.session import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Members of a bucket that one task compares with as many others.
-CHUNK = 1024
+CHUNK = 8192
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,22 +30,24 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut_lineage(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     )
-    while True:
+    before = None
+    while (state := _state(edges)) != before:
+        before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Every node's own least neighbour is kept; the other links move down to it.
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(lowest.select("u", F.col("m").alias("v")).unionByName(moved).distinct())
-        parents = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        open_ends = parents.filter("n > 1").select("u").unionByName(
-            edges.select(F.col("v").alias("u")).distinct().join(parents, "u", "left_semi")
-        )
-        if open_ends.isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
+    leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Number and order-free hash of the links: equal once a round changes nothing."""
+    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    return tuple(edges.agg(F.count(F.lit(1)), digest).first())
 
 
 def _linked(
@@ -53,11 +55,13 @@ def _linked(
     group: np.ndarray,
     may_meet: Callable[[np.ndarray, np.ndarray], np.ndarray],
     close: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray],
+    nodes: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal ``group``: rows are compared with those 1, 2, ... places on.
 
-    Rows that are joined already, over any number of links, need no comparison, so the
-    links form a forest and alike rows cost about one comparison each.
+    Rows that are joined already, over any number of links, need no comparison, so alike
+    rows cost about one comparison each. What comes back are the places of every joined
+    row and of the least node it is joined to.
     """
     changes = np.flatnonzero(np.diff(group)) + 1
     ends = np.repeat(np.append(changes, len(group)), np.diff(np.concatenate([[0], changes, [len(group)]])))
@@ -68,25 +72,24 @@ def _linked(
             i = parent[i] = parent[parent[i]]
         return int(i)
 
-    kept: list[tuple[int, int]] = []
     rows, step = np.arange(len(group)), 1
     while len(rows := rows[rows + step < ends[rows]]):
         others = rows + step
         open_pairs = (parent[rows] != parent[others]) & may_meet(rows, others)
         left, right = rows[open_pairs], others[open_pairs]
         good = close(values, left, right)
-        before = len(kept)
         for i, j in zip(left[good].tolist(), right[good].tolist()):
             a, b = top(i), top(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                kept.append((i, j))
-        if len(kept) > before:
+            # The least node names the tree, so trees of several buckets agree on it.
+            if nodes[a] < nodes[b]:
+                a, b = b, a
+            parent[a] = b
+        if good.any():
             while (parent[parent] != parent).any():
                 parent = parent[parent]
         step += 1
-    chosen = np.array(kept, np.int64).reshape(-1, 2)
-    return chosen[:, 0], chosen[:, 1]
+    joined = np.flatnonzero(parent != np.arange(len(group)))
+    return joined, parent[joined]
 
 
 def bucket_links(
@@ -96,7 +99,9 @@ def bucket_links(
     columns: list[str],
     close: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray],
 ) -> DataFrame:
-    """(a, b): links between members of a bucket for which ``close`` holds, thinned to a forest.
+    """(a, b): links that join the members of a bucket as all pairs for which ``close`` holds do.
+
+    Each joined member is linked to the least node of its tree.
 
     ``members`` has ``bucket`` (long), ``node`` (long, distinct within a bucket) and
     ``columns``. ``close(values, left, right)`` says for pairs of places whether
@@ -134,7 +139,7 @@ def bucket_links(
             for key in keys:
                 changed[1:] |= key[1:] != key[:-1]
             mine, one = table.column("_mine").to_numpy(), keys[1] == keys[2]
-            left, right = _linked(values, np.cumsum(changed), lambda i, j: one[i] | (mine[i] != mine[j]), close)
+            left, right = _linked(values, np.cumsum(changed), lambda i, j: one[i] | (mine[i] != mine[j]), close, values[node])
             return pa.record_batch({"a": pa.array(values[node][left], pa.int64()), "b": pa.array(values[node][right], pa.int64())})
 
         for batch in batches:
