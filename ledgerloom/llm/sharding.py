@@ -181,12 +181,17 @@ def _with_slots(rows: DataFrame, ordered: DataFrame, cuts: list[str]) -> DataFra
     first = marked.groupBy("shard").agg(F.min(F.col("rows_so_far") - F.col("rows")).alias("first"))
     # One row per shard.
     placed = marked.join(F.broadcast(first), "shard").select(
-        F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "shard", (F.col("rows_so_far") - F.col("rows") - F.col("first")).alias("_slot")
+        _row_key().alias("_at"), "shard", (F.col("rows_so_far") - F.col("rows") - F.col("first")).alias("_slot")
     )
-    joined = rows.join(placed, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    # Rows that repeat an id and a text take the following slots.
-    again = F.row_number().over(Window.partitionBy("_key", "_id").orderBy("_slot"))
-    return joined.withColumn("slot", F.col("_slot") + again - 1).drop("_key", "_id", "_slot")
+    # Rows that repeat an id and a text take the following slots; the join has dealt them alike.
+    again = F.row_number().over(Window.partitionBy("_at").orderBy("_slot"))
+    joined = rows.withColumn("_at", _row_key()).join(placed, "_at")
+    return joined.withColumn("slot", F.col("_slot") + again - 1).drop("_at", "_slot")
+
+
+def _row_key() -> Column:
+    """One text per key and id; a null id has no text."""
+    return F.concat_ws(":", "key", F.col("doc_id").cast("string"))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
