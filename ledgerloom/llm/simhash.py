@@ -41,8 +41,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GENERATOR, CODE_BITS, INDEX_BITS = 0b101011100011, 23, 12
 
 
-def piece_prints(piece: Piece, width: int = SHINGLE) -> np.ndarray:
-    """Fingerprints of a piece's documents: majority bits of their shingles' XXH64 (seed 42)."""
+def shingle_hashes(piece: Piece, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of the word shingles of a piece's documents, and their number per document."""
     words = find_words(piece, BLANK)
     data, starts, ends = squeeze(Piece(piece.first, LOWER[piece.data], piece.offsets), words)
     counts = np.bincount(words.row, minlength=len(piece))
@@ -53,7 +53,12 @@ def piece_prints(piece: Piece, width: int = SHINGLE) -> np.ndarray:
     place = np.arange(len(rows)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     first = (last - counts + 1)[rows] + place
     final = np.minimum(first + width - 1, last[rows])
-    return majority_bits(xxh64_spans(data, starts[first], ends[final], SEED), shingles)
+    return xxh64_spans(data, starts[first], ends[final], SEED), shingles
+
+
+def piece_prints(piece: Piece, width: int = SHINGLE) -> np.ndarray:
+    """Fingerprints of a piece's documents: majority bits of their shingles' XXH64 (seed 42)."""
+    return majority_bits(*shingle_hashes(piece, width))
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
