@@ -12,12 +12,16 @@ inside a part, the check answers from both ends of the part; only if the two ans
 differ are those parts read again, each as ``FAN`` smaller parts, down to single
 groups. So the driver never holds more than ``FAN`` numbers per part that a cut needs.
 
+A group as large as the least capacity has a shard of its own. The runs before and after
+it are cut again by the same search, each with as many of the other shards as make the
+larger of both capacities smallest. Shards that are still empty halve the largest runs.
+
 A document's shard follows from its key and the n - 1 cut keys, without a join. Its
 slot is its place among the rows of the shard, from running totals.
 
 Defined cases: null text is a group of its own with size 1 and checksum 0; repeated
-rows are rows of one group; an empty table has no shards; a group larger than a fair
-share fills a shard alone or as tightly as its neighbours allow.
+rows are rows of one group; an empty table has no shards; of fewer groups than shards
+each has a shard of its own.
 """
 
 from __future__ import annotations
@@ -63,8 +67,12 @@ class Outline:
 
     def __init__(self, groups: DataFrame) -> None:
         self.groups = groups
-        count, total = groups.agg(F.ifnull(F.max("place"), F.lit(0)), F.ifnull(F.max("so_far"), F.lit(0))).first()
+        most = F.max(F.struct("size", "place"))
+        count, total, most = groups.agg(F.ifnull(F.max("place"), F.lit(0)), F.ifnull(F.max("so_far"), F.lit(0)), most).first()
         self.count, self.total = int(count), int(total)
+        #: Size and place of the largest group.
+        self.largest, self.at = (int(most["size"]), int(most["place"])) if most else (0, 0)
+        self.answers: dict[int, tuple[int, list[int]]] = {}
         self.parts = [Part(0, self.count, 0, self.total)] if self.count else []
         if self.parts:
             self.refine(self.parts)
@@ -121,13 +129,16 @@ class Outline:
 
     def smallest_capacity(self, shards: int) -> tuple[int, list[int]]:
         """The least feasible capacity and the last places of all shards but the last."""
-        low, high = max(1, -(-self.total // shards)), self.total
+        if shards in self.answers:
+            return self.answers[shards]
+        low, high = max(1, self.largest, -(-self.total // shards)), self.total
         while low < high:
             middle = (low + high) // 2
             fits = self.fits(middle, shards)
             low, high = (low, middle) if fits else (middle + 1, high)
         self.fits(low, shards, exact=True)
-        return low, self.walk(low, shards, False)[2]
+        self.answers[shards] = low, self.walk(low, shards, False)[2]
+        return self.answers[shards]
 
     def fits(self, capacity: int, shards: int, exact: bool = False) -> bool:
         while True:
@@ -138,12 +149,62 @@ class Outline:
             self.refine(list({p.low: p for p in unsure + other}.values()))
 
 
+def between(groups: DataFrame, low: int, high: int) -> DataFrame:
+    """Groups ``low`` (exclusive) to ``high`` (inclusive), counted and summed from there on."""
+    inside = groups.filter((F.col("place") > low) & (F.col("place") <= high))
+    before = groups.filter(F.col("place") == low).select("so_far").first() if low else None
+    so_far = F.col("so_far") - F.lit(int(before[0]) if before else 0)
+    return inside.select("size", (F.col("place") - low).alias("place"), so_far.alias("so_far"))
+
+
+def cut_places(groups: DataFrame, outline: Outline, shards: int) -> list[int]:
+    """Last places of all runs but the last: none above the least capacity, the others as even as the largest groups let them be."""
+    if shards == 1 or outline.count <= 1:
+        return []
+    capacity, places = outline.smallest_capacity(shards)
+    if capacity > outline.largest:
+        return places
+    before, after = outline.at - 1, outline.count - outline.at
+    left, right = between(groups, 0, before), between(groups, outline.at, outline.count)
+    # A run of no groups takes no shard.
+    sides = Outline(left), Outline(right)
+    own = _share(*sides, shards - 1) if before and after else (shards - 1) * bool(before)
+    first = [*cut_places(left, sides[0], own), before] if before else []
+    second = [outline.at, *(outline.at + p for p in cut_places(right, sides[1], shards - 1 - own))] if after else []
+    return first + second
+
+
+def _share(left: Outline, right: Outline, shards: int) -> int:
+    """How many of the shards the left run takes so that the larger of both capacities is smallest."""
+    low, high = 1, shards - 1
+    while low < high:
+        middle = (low + high) // 2
+        enough = left.smallest_capacity(middle)[0] <= right.smallest_capacity(shards - middle)[0]
+        low, high = (low, middle) if enough else (middle + 1, high)
+    worst = {k: max(left.smallest_capacity(k)[0], right.smallest_capacity(shards - k)[0]) for k in (max(1, low - 1), low)}
+    best = min(worst, key=lambda k: (worst[k], k))
+    # No run takes more shards than it has groups while the other can fill them.
+    return min(left.count, max(best, shards - right.count))
+
+
+def fill_empty(groups: DataFrame, cuts: list[int], count: int, shards: int) -> list[int]:
+    """Cuts as they are, and further ones that halve the largest run of several groups until no shard is empty."""
+    while len(cuts) + 1 < min(shards, count):
+        ends = {int(r["place"]): int(r["so_far"]) for r in groups.filter(F.col("place").isin([*cuts, count])).collect()}
+        runs = [(ends[b] - ends.get(a, 0), a, b) for a, b in zip([0, *cuts], [*cuts, count]) if b - a > 1]
+        _, low, high = max(runs)
+        part = between(groups, low, high)
+        # Two shards of a run of several groups are both filled.
+        cuts = sorted([*cuts, low + Outline(part).smallest_capacity(2)[1][0]])
+    return cuts
+
+
 def cut_keys(groups: DataFrame, shards: int) -> list[str]:
-    """Last keys of all shards but the last, for ``groups(key, place, so_far)``."""
+    """Last keys of all shards but the last, for ``groups(key, size, place, so_far)``."""
     outline = Outline(groups)
     if not outline.count:
         return []
-    _, places = outline.smallest_capacity(shards)
+    places = fill_empty(groups, cut_places(groups, outline, shards), outline.count, shards)
     rows = groups.filter(F.col("place").isin(places)).select("place", "key").collect()
     return [r["key"] for r in sorted(rows, key=lambda r: r["place"])]
 
@@ -168,9 +229,9 @@ def _laid_out(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, list[
     rows = materialize(measured(docs), "measured")
     per_id = rows.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size"))
     ordered = materialize(running_totals(per_id, ["key", "doc_id"], ["rows", "size"]).drop("rows_total", "size_total"), "ordered")
-    per_key = ordered.groupBy("key").agg(F.max("size_so_far").alias("so_far"))
+    per_key = ordered.groupBy("key").agg(F.max("size_so_far").alias("so_far"), F.sum("size").alias("size"))
     one = per_key.withColumn("one", F.lit(1))
-    groups = materialize(running_totals(one, ["key"], ["one"]).select("key", "so_far", F.col("one_so_far").alias("place")), "groups")
+    groups = materialize(running_totals(one, ["key"], ["one"]).select("key", "size", "so_far", F.col("one_so_far").alias("place")), "groups")
     return ordered, rows, cut_keys(groups, shards)
 
 

@@ -77,3 +77,34 @@ def test_documents_keep_their_columns(make_docs):
     check([(i % 10, f"text {i % 12}") for i in range(40)], found.collect(), 3)
     with pytest.raises(ValueError):
         sharding.sharded_documents(docs.withColumnRenamed("lang", "shard"))
+
+
+def loads_of(rows, shards):
+    found = {}
+    for r in rows:
+        found[r.shard] = found.get(r.shard, 0) + r.size
+    return [found.get(i, 0) for i in range(shards)]
+
+
+@pytest.mark.parametrize("copies", [1, 400])
+def test_a_heavy_group_leaves_the_other_shards_even(make_docs, copies):
+    """A third of all bytes are one text: the other 15 shards share the rest evenly."""
+    rng = np.random.default_rng(copies)
+    rows = [(i, f"{i} " + "y" * int(n)) for i, n in enumerate(rng.integers(50, 150, 1200))]
+    heavy = 60_000 // copies
+    rows += [(5000 + i, "z" * (heavy - 1)) for i in range(copies)]
+    found = sharding.assign(make_docs(*rows)).collect()
+    check(rows, found, 16)
+    loads = sorted(loads_of(found, 16))
+    rest = sum(loads[:-1]) / 15
+    assert loads[-1] == heavy * copies
+    # The heavy group's place is given, so a side of 1.5 fair shares is cut into two of 0.75.
+    assert 0.65 * rest < loads[0] and loads[-2] < 1.35 * rest
+
+
+def test_no_shard_stays_empty_while_groups_are_left(make_docs):
+    rows = [(i, f"{i:04}") for i in range(17)]
+    assert sorted(loads_of(sharding.assign(make_docs(*rows)).collect(), 16)) == [5] * 15 + [10]
+    rows = [(i, str(i) * n) for i, n in enumerate([9, 900, 9, 9, 500, 9])]
+    for shards in (4, 6, 16):
+        assert sum(x > 0 for x in loads_of(sharding.assign(make_docs(*rows), shards).collect(), shards)) == min(shards, 6)
