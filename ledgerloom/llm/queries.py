@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, language, lines, mixing, quality, sharding, simhash, spotsigs, toxicity
+from ledgerloom.llm import chat, decontaminate, language, lines, mixing, quality, runs, sharding, simhash, spotsigs, toxicity
 from ledgerloom.llm.tables import read
 
 #: A conversation whose text is made of the template's own control strings.
@@ -70,6 +70,11 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, one of ten of which is made to cycle from some word on."""
+    return runs.digests(runs.find(runs.with_cycles(read(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_scores,
     "op2_line_dedup": line_dedup,
@@ -81,9 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash_components,
     "op9_toxicity": toxicity_scores,
     "op10_decontaminate": contamination,
+    "op11_periodic_runs": periodic_runs,
 }
 
-# SQL of the two operators whose whole results SQL can express.
+# SQL of the operators whose whole results SQL can express.
 ORACLES: dict[str, str] = {
     "op3_chat": r"""
 WITH given AS (
@@ -133,5 +139,47 @@ WITH item_words AS (
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words AS d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    # Every pair of equal words a distance apart; stretches of such pairs at one distance are the runs.
+    "op11_periodic_runs": r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    xor(list_reduce(
+      list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))
+    ), 4294967295) AS h
+  FROM documents
+), placed AS (
+  SELECT *, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS cycles, (h // 10) % len(w) AS a, h // 10 AS g FROM hashed
+), turned AS (
+  SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed
+), edited AS (
+  SELECT doc_id, n, CASE WHEN cycles THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END])
+    ELSE w END AS w
+  FROM turned
+), words AS (
+  SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM edited
+), pairs AS (
+  SELECT l.doc_id, l.i, r.i - l.i AS q FROM words AS l JOIN words AS r
+    ON l.doc_id = r.doc_id AND l.word = r.word AND r.i > l.i AND (r.i - l.i) * 3 <= l.n
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY ALL
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id
+), compared AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM runs
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM edited AS e LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+  LEFT JOIN (SELECT doc_id, start, length, period FROM compared WHERE place = 1) USING (doc_id)
 """,
 }
