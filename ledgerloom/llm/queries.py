@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, language, lines, mixing, quality, runs, sharding, simhash, spotsigs, toxicity
+from ledgerloom.llm import chat, decontaminate, language, lines, mixing, phrases, quality, runs, sharding, simhash, spotsigs, toxicity
 from ledgerloom.llm.tables import read
 
 #: A conversation whose text is made of the template's own control strings.
@@ -75,6 +75,11 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find(runs.with_cycles(read(spark, sf_dir, "documents"))))
 
 
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language, counted over all documents."""
+    return phrases.mine(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_scores,
     "op2_line_dedup": line_dedup,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity_scores,
     "op10_decontaminate": contamination,
     "op11_periodic_runs": periodic_runs,
+    "op12_phrases": collocations,
 }
 
 # SQL of the operators whose whole results SQL can express.
@@ -181,5 +187,41 @@ SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * le
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
 FROM edited AS e LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
   LEFT JOIN (SELECT doc_id, start, length, period FROM compared WHERE place = 1) USING (doc_id)
+""",
+    "op12_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), lists AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM lists GROUP BY lang
+), places AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, range(1, 6) AS sizes(k) WHERE len(w) >= k
+), grams AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100
+), phrases AS (
+  SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM grams WHERE k > 1
+), cuts AS (
+  SELECT lang, k, phrase, f, w, cut, array_to_string(list_slice(w, 1, cut), ' ') AS head, array_to_string(list_slice(w, cut + 1, k), ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM phrases)
+), scores AS (
+  SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, t.n, cut,
+    (1000::HUGEINT * c.f * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts AS c JOIN grams AS l ON l.lang = c.lang AND l.phrase = c.head
+    JOIN grams AS r ON r.lang = c.lang AND r.phrase = c.tail JOIN totals AS t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, max(f) AS longer
+  FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM phrases WHERE k > 2)) GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM lowest AS s LEFT JOIN inside AS i ON s.lang = i.lang AND s.phrase = i.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 100 * s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
 """,
 }

@@ -1,0 +1,101 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from ledgerloom.llm import phrases
+
+
+def plain(rows: list[tuple], least: int, longest: int, share: int, top: int) -> list[tuple]:
+    """The same from dictionaries of tuples of words."""
+    counts, total = Counter(), Counter()
+    for lang, text in rows:
+        lang = lang if lang is not None else "und"
+        lowered = "".join(c.lower() if c.isascii() else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    counts[lang, tuple(words[i : i + k])] += 1
+    found = {key: a for key, a in counts.items() if len(key[1]) > 1 and a >= least}
+    kept = []
+    for (lang, words), a in found.items():
+        cuts = []
+        for k in range(1, len(words)):
+            l, r = counts[lang, words[:k]], counts[lang, words[k:]]
+            cuts.append((1000 * a * total[lang] // (l * r), k, l, r))
+        score, _, l, r = min(cuts)
+        inside = [
+            b for (other, longer), b in found.items() if other == lang and len(longer) > len(words)
+            and any(longer[i : i + len(words)] == words for i in range(len(longer) - len(words) + 1))
+        ]
+        if not any(100 * b >= share * a for b in inside):
+            kept.append((lang, -score, -a, " ".join(words).encode(), l, r))
+    out, place = [], Counter()
+    for lang, score, a, phrase, l, r in sorted(kept):
+        place[lang] += 1
+        if place[lang] <= top:
+            out.append((lang, place[lang], phrase.decode(), -a, l, r, total[lang], -score))
+    return out
+
+
+def made(seed: int, documents: int) -> list[tuple]:
+    rnd = random.Random(seed)
+    vocabulary = ["a", "B", "b", "the", "cat", "Été", "été", "日本", "x-y", "of"]
+    rows = []
+    for _ in range(documents):
+        words = [rnd.choice(vocabulary[: rnd.randint(3, 10)]) + rnd.choice(["", "", "", ".", ",", "\n", "\t", "  ", "\r\n;"]) for _ in range(rnd.randint(0, 60))]
+        rows.append((rnd.choice(["en", "fr", None, "und"]), " ".join(words) + rnd.choice(["", " the cat of", ".the cat of x-y."])))
+    return [*rows, ("en", None), ("fr", ""), (None, " , . ")]
+
+
+@pytest.mark.parametrize("changed", [{}, {"CHUNK": 500}, {"MAP_BITS": 64}, {"HELD": 3}, {"SLOTS": 1}])
+def test_against_dictionaries(spark, monkeypatch, changed):
+    """Also with many small chunks, a map that is full, and few phrases held at a time."""
+    for name, value in changed.items():
+        monkeypatch.setattr(phrases, name, value)
+    rows = made(4, 150)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    for least, longest, share, top in ((5, 5, 100, 2000), (12, 4, 60, 3)):
+        got = [tuple(r) for r in phrases.mine(docs, least, longest, share, top).collect()]
+        assert sorted(got) == plain(rows, least, longest, share, top)
+
+
+def test_summaries_keep_what_is_frequent():
+    """However they are merged, an item that occurs often enough survives, and counts are bounded."""
+    rnd = random.Random(8)
+    for _ in range(200):
+        least = rnd.randint(2, 9)
+        parts = [Counter(int(rnd.expovariate(0.05)) for _ in range(rnd.randint(0, 80))) for _ in range(rnd.randint(1, 12))]
+        mass = sum(sum(p.values()) for p in parts)
+        summary = phrases.Summary(mass // least + 1)
+        for part in parts:
+            keys = phrases.np.array(sorted(part), dtype=phrases.np.uint64)
+            summary.merge(keys, phrases.np.array([part[int(k)] for k in keys], dtype=phrases.np.int64))
+        exact = sum(parts, Counter())
+        assert summary.taken < least and len(summary.keys) <= mass // least + 1
+        assert {k for k, n in exact.items() if n >= least} <= set(summary.frequent(least).tolist())
+        assert all(exact[int(k)] - summary.taken <= n <= exact[int(k)] for k, n in zip(summary.keys, summary.counts.tolist()))
+
+
+def test_products_beyond_64_bits(spark):
+    many = 4_000_000_000_000
+    grams = [("en", 0, "", 9 * many), ("en", 1, "a", many), ("en", 1, "b", many + 1), ("en", 2, "a b", many - 1)]
+    rows = phrases.scored(spark.createDataFrame(grams, "lang string, k int, phrase string, n long")).collect()
+    assert [(r.a, r.l, r.r, r.n, r.score) for r in rows] == [
+        (many - 1, many, many + 1, 9 * many, 1000 * (many - 1) * 9 * many // (many * (many + 1)))
+    ]
+
+
+def test_defined_cases(spark):
+    empty = spark.createDataFrame([], "text string, lang string, phrase int, k map<string,int>")
+    assert phrases.mine(empty).count() == 0
+    rows = [("one two. " * 60, None, 1, None), ("one two. " * 60, "und", 2, {"n": 1}), (None, "und", None, None), ("x " * 99, "fr", 3, None)]
+    docs = spark.createDataFrame(rows, empty.schema)
+    assert [tuple(r) for r in phrases.mine(docs).collect()] == [("und", 1, "one two", 120, 120, 120, 240, 2000)]
+    long = spark.createDataFrame([("en", "b c d e f " * 200_000)], "lang string, text string")
+    assert {r.a for r in phrases.mine(long).collect()} <= {200_000, 199_999}
