@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, language, lines, mixing, phrases, quality, runs, sharding, simhash, spotsigs, toxicity
+from ledgerloom.llm import chat, decontaminate, language, lines, mixing, phrases, pii, quality, runs, sharding, simhash, spotsigs, toxicity
 from ledgerloom.llm.tables import read
 
 #: A conversation whose text is made of the template's own control strings.
@@ -80,6 +80,12 @@ def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(read(spark, sf_dir, "documents"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, by rules and by a field fitted on a sample."""
+    docs = read(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.train(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_scores,
     "op2_line_dedup": line_dedup,
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": contamination,
     "op11_periodic_runs": periodic_runs,
     "op12_phrases": collocations,
+    "op13_pii": personal_data,
 }
 
 # SQL of the operators whose whole results SQL can express.

@@ -64,7 +64,7 @@ def test_stages(spark, small_dir, small_docs):
 def test_registration(spark):
     known = __spark_entry__.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(known)
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 13))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_entry_without_the_package(tmp_path):
