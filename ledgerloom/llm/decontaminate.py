@@ -233,5 +233,6 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFr
 def keep_unseen(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any occurrence of a benchmark window."""
     _, matches, _ = search(docs, benchmark, width)
-    seen = matches.select(F.col("doc_key").alias("_seen")).distinct()
+    # Stored once per document, so that their own size, not that of all matches, decides whether the texts are shuffled.
+    seen = materialize(matches.select(F.col("doc_key").alias("_seen")).distinct(), "seen")
     return docs.withColumn("_key", document_key()).join(seen, F.col("_key") == F.col("_seen"), "left_anti").drop("_key")

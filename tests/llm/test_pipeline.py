@@ -13,8 +13,9 @@ import pytest
 from check_oracles import TABLES, compare
 
 import __spark_entry__
-from ledgerloom.llm import decontaminate, queries, simhash, toxicity
+from ledgerloom.llm import decontaminate, queries, toxicity
 from ledgerloom.session import materialize
+from tests.llm.test_copies import survivors
 
 REPO = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
 
@@ -51,8 +52,8 @@ def test_stages(spark, small_dir, small_docs):
             expected = {r.doc_id for r in toxicity.score(before, model).collect() if not r.predicted}
             assert {r.doc_id for r in rows} == expected
         if name == "simhash_near_dedup":
-            expected = {r.component_id for r in simhash.near_duplicates(before).collect()}
-            assert sorted(r.doc_id for r in rows) == sorted(expected)
+            expected, _ = survivors([(r.doc_id, r.text) for r in before.collect()])
+            assert sorted(r.doc_id for r in rows) == sorted(d for d, _ in expected)
         if name == "decontamination":
             items = spark.read.parquet(f"{small_dir}/benchmark.parquet")
             clean = {r.doc_id for r in decontaminate.report(before, items).collect() if not r.contaminated}
