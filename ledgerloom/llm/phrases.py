@@ -9,10 +9,12 @@ Texts are lowered (A-Z) and split at ``[.,;:!?\x0A-\x0D]`` into pieces and those
    A slot's summaries meet in one task, which knows their mass, and are merged with a capacity
    above mass / LEAST: after a merge the count of the first gram beyond the capacity is taken
    from all. That takes less than LEAST from any gram, so every frequent one survives; those
-   whose count with what was taken stays below LEAST are left out.
+   whose count with what was taken stays below LEAST are left out. The capacity is ``SPARE``
+   times what the guarantee needs, so little is taken and few infrequent grams survive.
    Words and pairs go first, then longer grams all of whose pairs survived.
 2. *Exact counts.* A second pass over all texts counts the grams whose bits are set in a map of
-   ``MAP_BITS`` bits of the survivors, by their text. The map has a fixed size whatever the
+   ``MAP_BITS`` bits of the survivors, by their text, again first in the tasks and then per hash
+   partition; only frequent ones leave it. The map has a fixed size whatever the
    corpus: when it fills up, more grams are counted in vain and dropped by their exact count.
 3. *Scores.* Every cut of a phrase joins the counts of its two parts (frequent as well, being
    parts). Products are decimals of 38 digits.
@@ -47,7 +49,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAST, LONGEST, SHARE, TOP = 100, 5, 100, 2000
 #: Hash partitions for each shuffle partition; occurrences that a task counts together.
-SLOTS, CHUNK = 4, 4_000_000
+SLOTS, CHUNK = 4, 2_000_000
+#: Capacity of a summary as a multiple of mass / LEAST.
+SPARE = 8
 #: Bits of the map of survivors (8 MB); a power of two.
 MAP_BITS = 1 << 26
 #: Phrases that a task of the second pass holds before it hands them on.
@@ -198,7 +202,7 @@ def survivors(summaries: DataFrame, least: int) -> DataFrame:
 
     def merged(parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         mass = sum(int(np.frombuffer(c, np.uint32).sum(dtype=np.int64)) for _, c in parts)
-        summary = Summary(mass // least + 1)
+        summary = Summary(SPARE * (mass // least) + 1)
         waiting, held = [], 0
         for i, (keys, counts) in enumerate(parts):
             waiting.append((unpack(keys), np.frombuffer(counts, np.uint32).astype(np.int64)))
@@ -239,39 +243,77 @@ def bit_map(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def exact_counts(docs: DataFrame, longest: int, bits: Broadcast) -> DataFrame:
-    """(lang, k, phrase, n): counts by text of the grams in the map; k = 0 counts all words of a language."""
+def exact_counts(docs: DataFrame, slots: int, least: int, longest: int, bits: Broadcast) -> DataFrame:
+    """(lang, k, phrase, n): counts by text of the grams in the map that occur ``least`` times; k = 0
+    counts all words of a language.
 
-    def packed(counts: dict[tuple[str, int, bytes], int]) -> pa.RecordBatch:
+    What a task has counted goes to the hash partitions in one row per language and slot: its
+    phrases, parted by line feeds, which no word holds, and their counts.
+    """
+
+    def packed(counts: dict[tuple[str, int], dict[bytes, int]]) -> pa.RecordBatch:
         return pa.record_batch(
             {
-                "lang": pa.array([x[0] for x in counts], pa.string()),
-                "k": pa.array([x[1] for x in counts], pa.int32()),
-                "phrase": pa.array([x[2].decode() for x in counts], pa.string()),
-                "n": pa.array(list(counts.values()), pa.int64()),
+                "slot": pa.array([slot for _, slot in counts], pa.int32()),
+                "lang": pa.array([lang for lang, _ in counts], pa.string()),
+                "phrases": pa.array([b"\n".join(c) for c in counts.values()], pa.binary()),
+                "counts": pa.array([np.fromiter(c.values(), np.int64, len(c)).tobytes() for c in counts.values()], pa.binary()),
             }
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
-        counts: dict[tuple[str, int, bytes], int] = {}
+        counts: dict[tuple[str, int], dict[bytes, int]] = {}
+        held = 0
         for grams, names in _pieces(batches):
-            for row, n in enumerate(np.bincount(grams.row, minlength=len(names)).tolist()):
-                whole = (names[row], 0, b"")
-                counts[whole] = counts.get(whole, 0) + n
+            per_row = np.bincount(grams.row, minlength=len(names)).tolist()
+            for name, n in zip(names, per_row):
+                # The empty phrase stands for the language itself.
+                whole = counts.setdefault((name, hash_text(name) % slots), {})
+                whole[b""] = whole.get(b"", 0) + n
             for k, (places, hashes) in enumerate(grams.hashes(longest), 1):
                 good = seen(table, hashes)
-                _, first, number = np.unique(hashes[good], return_index=True, return_counts=True)
+                known, first, number = np.unique(hashes[good], return_index=True, return_counts=True)
                 places = places[good][first]
-                for place, row, n in zip(places.tolist(), grams.row[places].tolist(), number.tolist()):
-                    found = (names[row], k, grams.phrase(place, k))
-                    counts[found] = counts.get(found, 0) + n
-            if len(counts) > HELD:
+                slot = ((known >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
+                for place, row, s, n in zip(places.tolist(), grams.row[places].tolist(), slot.tolist(), number.tolist()):
+                    of_slot = counts.setdefault((names[row], s), {})
+                    phrase = grams.phrase(place, k)
+                    if phrase not in of_slot:
+                        held += 1
+                    of_slot[phrase] = of_slot.get(phrase, 0) + n
+            if held > HELD:
                 yield packed(counts)
-                counts = {}
+                counts, held = {}, 0
         yield packed(counts)
 
-    return docs.mapInArrow(run, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frequent(lang: str, counts: dict[bytes, int]) -> pa.RecordBatch:
+            kept = {p.decode(): n for p, n in counts.items() if n >= least or not p}
+            return pa.record_batch(
+                {
+                    "lang": pa.array([lang] * len(kept), pa.string()),
+                    "k": pa.array([p.count(" ") + 1 if p else 0 for p in kept], pa.int32()),
+                    "phrase": pa.array(list(kept), pa.string()),
+                    "n": pa.array(list(kept.values()), pa.int64()),
+                }
+            )
+
+        at, counts = None, {}
+        for batch in batches:
+            for slot, lang, phrases, numbers in zip(*(batch.column(c).to_pylist() for c in ("slot", "lang", "phrases", "counts"))):
+                if (slot, lang) != at and at:
+                    yield frequent(at[1], counts)
+                    counts = {}
+                at = (slot, lang)
+                for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(numbers, np.int64).tolist()):
+                    counts[phrase] = counts.get(phrase, 0) + n
+        if at:
+            yield frequent(at[1], counts)
+
+    partial = docs.mapInArrow(count, "slot int, lang string, phrases binary, counts binary")
+    dealt = partial.repartition("slot").sortWithinPartitions("slot", "lang")
+    return dealt.mapInArrow(add, "lang string, k int, phrase string, n long")
 
 
 def frequent_grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
@@ -285,8 +327,7 @@ def frequent_grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST)
     if longest > 2:
         shared = spark.sparkContext.broadcast(short)
         bits = short | bit_map(survivors(chunk_summaries(texts, slots, longest, shared), least))
-    counted = exact_counts(texts, longest, spark.sparkContext.broadcast(bits))
-    return materialize(counted.filter((F.col("n") >= least) | (F.col("k") == 0)), "grams")
+    return materialize(exact_counts(texts, slots, least, longest, spark.sparkContext.broadcast(bits)), "grams")
 
 
 def _words(first: int | F.Column, count: int | F.Column) -> F.Column:
@@ -295,7 +336,8 @@ def _words(first: int | F.Column, count: int | F.Column) -> F.Column:
 
 def scored(grams: DataFrame) -> DataFrame:
     """(lang, k, phrase, a, l, r, n, score) of every phrase at its lowest-scoring cut."""
-    whole = grams.filter("k = 0").select("lang", F.col("n").alias("_all"))
+    # Stored on its own, so that its measured size decides how it is joined.
+    whole = materialize(grams.filter("k = 0").select("lang", F.col("n").alias("_all")), "totals")
     phrases = grams.filter("k > 1").select("lang", "k", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
     cuts = phrases.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
     cuts = cuts.withColumns({"_first": _words(F.lit(1), F.col("cut")), "_rest": _words(F.col("cut") + 1, F.col("k") - F.col("cut"))})
