@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.ordering import percentiles
-from ledgerloom.session import materialize
+from ledgerloom.operators.comoments import correlations
+from ledgerloom.operators.quantiles import exact_percentiles, group_map
 from ledgerloom.sources.schema import numeric_columns
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -46,32 +45,36 @@ def missing_values(df: DataFrame) -> DataFrame:
     )
 
 
-def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(
-        _rows(column=[F.lit(c) for c in columns], value=[F.col(c).cast("double") for c in columns])
-    )
-
-
 def describe(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """count, mean, sample std, min, quartiles and max per numeric column."""
     columns = list(columns or numeric_columns(df))
-    values = _long(df, columns)
+    value = {c: F.col(c).cast("double") for c in columns}
     moments = df.agg(
         *[
             F.struct(
                 F.count(c).alias("count"),
                 F.avg(c).alias("mean"),
-                F.stddev_samp(F.col(c).cast("double")).alias("std"),
-                F.min(F.col(c).cast("double")).alias("min"),
-                F.max(F.col(c).cast("double")).alias("max"),
+                F.stddev_samp(value[c]).alias("std"),
+                F.min(value[c]).alias("min"),
+                F.max(value[c]).alias("max"),
+                F.percentile_approx(value[c], list(QUARTILES.values()), 100_000).alias("near"),
+            ).alias(c)
+            if approximate
+            else F.struct(
+                F.count(c).alias("count"),
+                F.avg(c).alias("mean"),
+                F.stddev_samp(value[c]).alias("std"),
+                F.min(value[c]).alias("min"),
+                F.max(value[c]).alias("max"),
             ).alias(c)
             for c in columns
         ]
     ).select(_rows(column=[F.lit(c) for c in columns], m=[F.col(c) for c in columns]))
-    quartiles = percentiles(values, "value", QUARTILES, ["column"], approximate)
-    return moments.join(quartiles, "column", "left").select(
-        "column", "m.count", "m.mean", "m.std", "m.min", *QUARTILES, "m.max"
-    )
+    if approximate:
+        quartiles = [F.col("m.near")[k].alias(q) for k, q in enumerate(QUARTILES)]
+    else:
+        moments, quartiles = moments.join(exact_percentiles(df, value, QUARTILES), "column", "left"), list(QUARTILES)
+    return moments.select("column", "m.count", "m.mean", "m.std", "m.min", *quartiles, "m.max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -126,22 +129,26 @@ def histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
 
 
 def box_statistics(df: DataFrame, value: Column, within: str = "isFraud", approximate: bool = False) -> DataFrame:
-    """Quartiles, whiskers (last datum within 1.5 IQR) and outlier count per group."""
-    rows = df.select(F.col(within), value.alias("x")).filter(F.col("x").isNotNull() & F.col(within).isNotNull())
-    quartiles = percentiles(rows, "x", QUARTILES, [within], approximate)
-    reach = (F.col("q75") - F.col("q25")) * 1.5
-    inside = F.col("x").between(F.col("q25") - reach, F.col("q75") + reach)
-    return (
-        # Stored, so that its measured size decides how to join.
-        rows.join(materialize(quartiles, "quartiles"), [within])
-        .groupBy(within)
-        .agg(
-            *[F.first(q).alias(q) for q in QUARTILES],
-            F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-            F.count_if(~inside).alias("n_outliers"),
-        )
+    """Quartiles, whiskers (last datum within 1.5 IQR) and outlier count per group; the groups are few."""
+    rows = df.select(F.col(within), value.cast("double").alias("x")).filter(F.col("x").isNotNull() & F.col(within).isNotNull())
+    if approximate:
+        near = F.percentile_approx("x", list(QUARTILES.values()), 100_000)
+        quartiles = rows.groupBy(within).agg(near.alias("near"))
+        quartiles = quartiles.select(within, *[F.col("near")[k].alias(q) for k, q in enumerate(QUARTILES)])
+    else:
+        quartiles = exact_percentiles(rows, {"x": F.col("x")}, QUARTILES, within)
+    # One small row: the rows themselves are neither joined nor moved.
+    boxes = group_map(quartiles, within, F.struct(*QUARTILES))
+    rows = rows.withColumn("box", boxes).withColumn("box", F.try_element_at("box", F.col(within)))
+    reach = (F.col("box.q75") - F.col("box.q25")) * 1.5
+    inside = F.col("x").between(F.col("box.q25") - reach, F.col("box.q75") + reach)
+    boxed = rows.groupBy(within).agg(
+        F.first("box").alias("box"),
+        F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
+        F.count_if(~inside).alias("n_outliers"),
     )
+    return boxed.select(within, "box.*", "whisker_low", "whisker_high", "n_outliers")
 
 
 def volume_by_step(df: DataFrame) -> DataFrame:
@@ -163,36 +170,8 @@ def with_eda_columns(df: DataFrame) -> DataFrame:
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson r for all ordered pairs, from one aggregate row.
-
-    Each pair uses the rows where both are present. A cheap count finds the
-    columns that have gaps; only their pairs need a deviation of their own. A
-    constant column gives NULL (the built-in ``corr`` raises on it under ANSI).
-    """
-    columns = list(columns or numeric_columns(df))
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    value = {c: F.col(c).cast("double") for c in columns}
-
-    def spread(a: str, b: str) -> Column:
-        seen = value[a] if not gaps[b] else F.when(value[b].isNotNull(), value[a])
-        return F.stddev_pop(seen)
-
-    pairs = list(combinations(columns, 2))
-    own = [F.when(spread(c, c) > 0, 1.0).alias(f"{c}|{c}") for c in columns]
-    mixed = [
-        F.try_divide(F.covar_pop(value[a], value[b]), spread(a, b) * spread(b, a)).alias(f"{a}|{b}")
-        for a, b in pairs
-    ]
-    once = df.agg(*own, *mixed)
-    both = [(a, b, f"{a}|{b}") for a, b in [*((c, c) for c in columns), *pairs]]
-    both += [(b, a, f"{a}|{b}") for a, b in pairs]
-    return once.select(
-        _rows(
-            col_a=[F.lit(a) for a, _, _ in both],
-            col_b=[F.lit(b) for _, b, _ in both],
-            r=[F.col(f"`{name}`") for _, _, name in both],
-        )
-    )
+    """Pearson r for all ordered pairs, over the rows where both are present; NULL for a constant column."""
+    return correlations(df, list(columns or numeric_columns(df)))
 
 
 def degrees(df: DataFrame, account: str) -> DataFrame:
