@@ -139,7 +139,7 @@ def box_statistics(df: DataFrame, value: Column, within: str = "isFraud", approx
         quartiles = exact_percentiles(rows, {"x": F.col("x")}, QUARTILES, within)
     # One small row: the rows themselves are neither joined nor moved.
     boxes = group_map(quartiles, within, F.struct(*QUARTILES))
-    rows = rows.withColumn("box", boxes).withColumn("box", F.try_element_at("box", F.col(within)))
+    rows = rows.select(F.inline(F.array(F.struct(within, "x", F.try_element_at(boxes, F.col(within)).alias("box")))))
     reach = (F.col("box.q75") - F.col("box.q25")) * 1.5
     inside = F.col("x").between(F.col("box.q25") - reach, F.col("box.q75") + reach)
     boxed = rows.groupBy(within).agg(

@@ -2,9 +2,9 @@
 
 1. One aggregation keeps a quantile sketch per column. It says where a percentile lies to
    within a known share of the rows, which gives a low and a high value around it.
-2. A second one counts the rows below each bracket.
-3. Only values inside a bracket, a few in ``ACCURACY`` of all, are laid out by value, counted
-   and ranked.
+2. A second one counts the rows below each bracket and at its low end.
+3. Only values strictly inside a bracket, a few in ``ACCURACY`` of all however common single
+   values are, are laid out by value, counted and ranked.
 
 All three read the columns as they are stored: nothing is unpivoted but bracketed values, and
 nothing else is shuffled. Everything is one lazy plan; what a later step needs of an earlier
@@ -55,53 +55,55 @@ def exact_percentiles(
             for i in range(len(names))
         ]
     )
-    state = group_map(sketches, "_g", F.struct(*[f"_s{i}" for i in range(len(names))]))
-    # In a column of its own, so that the subquery stands in the plan once.
-    marked = cells.withColumn("_s", state).withColumn("_s", F.try_element_at("_s", F.col("_g")))
 
     def edge(i: int, place: int, end: str) -> Column:
         """So few rows that a rank is more than the margin are all inside."""
         if around[place] in (0.0, 1.0):
-            return F.col(f"_s._s{i}.{end}")
-        return F.when(F.col(f"_s._s{i}.n") <= accuracy, F.col(f"_s._s{i}.{end}")).otherwise(F.col(f"_s._s{i}.at")[place])
+            return F.col(f"_s{i}.{end}")
+        return F.when(F.col(f"_s{i}.n") <= accuracy, F.col(f"_s{i}.{end}")).otherwise(F.col(f"_s{i}.at")[place])
 
-    brackets = [
-        (i, j, F.col(f"_v{i}"), edge(i, 2 * j, "least"), edge(i, 2 * j + 1, "most"))
-        for i in range(len(names))
-        for j in range(len(spots))
-    ]
-    below = marked.groupBy("_g").agg(
+    places = [(i, j) for i in range(len(names)) for j in range(len(spots))]
+    edges = F.struct(
+        *[edge(i, 2 * j, "least").alias(f"lo{i}_{j}") for i, j in places], *[edge(i, 2 * j + 1, "most").alias(f"hi{i}_{j}") for i, j in places]
+    )
+    state = group_map(sketches, "_g", edges)
+    # A generator, so that the subquery and the look-up stand in the plan once and not in every comparison.
+    row = F.struct("_g", *[f"_v{i}" for i in range(len(names))], F.try_element_at(state, F.col("_g")).alias("_s"))
+    marked = cells.select(F.inline(F.array(row)))
+    brackets = [(i, j, F.col(f"_v{i}"), F.col(f"_s.lo{i}_{j}"), F.col(f"_s.hi{i}_{j}")) for i, j in places]
+    counts = marked.groupBy("_g").agg(
         *[F.count_if(v < low).alias(f"_b{i}_{j}") for i, j, v, low, _ in brackets],
+        *[F.count_if(v == low).alias(f"_l{i}_{j}") for i, j, v, low, _ in brackets],
         *[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(names))],
+        F.first("_s").alias("_s"),
     )
-    below = below.select(
-        "_g",
-        F.inline(
-            F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_b{i}_{j}").alias("below"), F.col(f"_n{i}").alias("n")) for i, j, *_ in brackets])
-        ),
-    )
-    held = functools.reduce(Column.__or__, [v.between(low, high) for _, _, v, low, high in brackets])
+    fields = {"below": "_b{0}_{1}", "at_low": "_l{0}_{1}", "n": "_n{0}", "low": "_s.lo{0}_{1}", "high": "_s.hi{0}_{1}"}
+    bracket = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[F.col(name.format(i, j)).alias(f) for f, name in fields.items()]) for i, j in places
+    ]
+    known = counts.select("_g", F.inline(F.array(*bracket)))
+    # The ends of a bracket are counted above: however common they are, their rows stay where they are.
+    within_bracket = [(v > low) & (v < high) for _, _, v, low, high in brackets]
     found = F.array(
-        *[F.when(v.between(low, high), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("v"))) for i, j, v, low, high in brackets]
+        *[F.when(held, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("v"))) for held, (i, j, v, _, _) in zip(within_bracket, brackets)]
     )
-    inside = marked.filter(held).select("_g", F.inline(F.filter(found, lambda x: x.isNotNull())))
-    # Equal values are one row, so a very common one is no more work than a rare one.
+    inside = marked.filter(functools.reduce(Column.__or__, within_bracket)).select("_g", F.inline(F.filter(found, lambda x: x.isNotNull())))
     counted = inside.groupBy("_g", "i", "j", "v").agg(F.count(F.lit(1)).alias("c"))
     so_far = Window.partitionBy("_g", "i", "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("c").over(so_far)).join(below, ["_g", "i", "j"])
+    ranked = known.join(counted.withColumn("upto", F.sum("c").over(so_far)), ["_g", "i", "j"], "left")
     fraction = F.element_at(F.array(*map(F.lit, map(float, spots))), F.col("j") + 1)
     spot = (F.col("n") - 1) * fraction
-    low = F.floor(spot)
 
     def at(rank: Column) -> Column:
-        place = rank - F.col("below")
-        return F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place), F.col("v")))
+        place = rank - F.col("below") - F.col("at_low")
+        middle = F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place), F.col("v")))
+        return F.coalesce(F.max(F.when(place < 0, F.col("low"))), middle, F.max("high"))
 
+    low = F.floor(spot)
     found = ranked.groupBy("_g", "i", "j").agg(
         at(low).alias("lower"), at(F.least(low + 1, F.col("n") - 1)).alias("upper"), F.first(spot - low).alias("part")
     )
     exact = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("part")
     wide = found.groupBy("_g", "i").agg(*[F.max(F.when(F.col("j") == j, exact)).alias(q) for j, q in enumerate(fractions)])
-    every = below.select("_g", "i").distinct().join(wide, ["_g", "i"], "left")
     column = F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1)
-    return every.select(*([F.col("_g").alias(within)] if within else []), column.alias("column"), *fractions)
+    return wide.select(*([F.col("_g").alias(within)] if within else []), column.alias("column"), *fractions)
