@@ -701,9 +701,12 @@ ORACLES: dict[str, str] = {
         )
         for key, names in (("baseline", list(FEATURE_SETS)[:1]), ("ablation", list(FEATURE_SETS)))
     },
-    "ml_graph_mlp": over_tx(
-        "SELECT 'test' AS split, count(*) AS test_rows, CAST(sum(isFraud) AS BIGINT) AS test_fraud, true AS in_range, "
-        "true AS above_base_rate FROM tx WHERE step > 600 AND type IN ('TRANSFER', 'CASH_OUT')"
+    **dict.fromkeys(
+        ("ml_graph_mlp", "ml_graph_sage"),
+        over_tx(
+            "SELECT 'test' AS split, count(*) AS test_rows, CAST(sum(isFraud) AS BIGINT) AS test_fraud, true AS in_range, "
+            "true AS above_base_rate FROM tx WHERE step > 600 AND type IN ('TRANSFER', 'CASH_OUT')"
+        ),
     ),
     "ml_type_index": over_tx(
         "c AS (SELECT type, count(*) AS n FROM tx GROUP BY type)",

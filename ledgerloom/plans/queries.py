@@ -17,6 +17,7 @@ from ledgerloom.operators import (
     eda,
     features,
     graph,
+    graph_learning,
     ingest,
     learning,
     metrics,
@@ -859,6 +860,18 @@ def ml_graph_mlp(spark, sf_dir):
     return _evidence(report, rows, "pr_auc", ["f1", "precision", "recall", "pr_auc"], "split")
 
 
+@query
+def ml_graph_sage(spark, sf_dir):
+    """Edge classifier whose two graph layers are learned: gradients sent back along the edges, focal loss."""
+    nodes, edges = _graph(spark, sf_dir)
+    labelled = training.assign_split(_normalized(edges), SPLIT)
+    model = graph_learning.fit_sage(labelled, nodes, NODE_FEATURES, EDGE_ATTRIBUTES, hidden=16, epochs=16, every=8, rate=0.05)
+    tested = graph_learning.sage_report(model, labelled, nodes, NODE_FEATURES, EDGE_ATTRIBUTES).persist()
+    counts = tested.groupBy("split").agg(F.count(F.lit(1)).alias("test_rows"), F.count_if(F.col("isFraud") == 1).alias("test_fraud"))
+    report = metrics.split_evaluation(tested, model.threshold).join(counts, "split")
+    return _evidence(report, tested, "pr_auc", ["f1", "precision", "recall", "pr_auc"], "split")
+
+
 # --- sources and sinks: written to the shared folder and read back -----------------------------------
 
 
