@@ -423,6 +423,15 @@ ORACLES: dict[str, str] = {
     "ingest_summary": sql(
         "SELECT count(*) AS total_rows, CAST(sum(isFraud) AS BIGINT) AS fraud_rows, min(step) AS min_step, max(step) AS max_step FROM raw"
     ),
+    "ingest_summary_sketches": over_tx(
+        union_all(
+            [
+                f"SELECT {low} AS low, {high} AS high, count(*) AS total_rows, CAST(sum(isFraud) AS BIGINT) AS fraud_rows, min(step) AS min_step, "
+                f"max(step) AS max_step, true AS senders_near, true AS receivers_near FROM tx WHERE step BETWEEN {24 * low + 1} AND {24 * high + 24}"
+                for low, high in ((2, 8), (0, 29), (0, 10_000))
+            ]
+        )
+    ),
     "subset_step_range": over_tx(SUBSET_ROWS, "SELECT * FROM sub"),
     "subset_summary": over_tx(
         SUBSET_ROWS,
@@ -470,6 +479,7 @@ ORACLES: dict[str, str] = {
     # training rows
     "training_dataset": TRAINING_ROWS,
     "training_dataset_joined": TRAINING_ROWS,
+    "training_dataset_bucketed": TRAINING_ROWS,
     "dataset_summary": over_tx("SELECT count(*) AS total_rows, count(*) FILTER (isFraud = 1) AS fraud_rows FROM tx"),
     "split_assign": over_tx(f"SELECT txn_id, step, {SPLIT} AS split FROM tx"),
     "split_summary": over_tx(
@@ -638,10 +648,16 @@ ORACLES: dict[str, str] = {
     "score_trained": over_tx("SELECT txn_id AS transaction_id, true AS consistent, 'success' AS status FROM tx"),
     "score_report": over_tx(SCORED, "SELECT count(*) AS processed, count(*) FILTER (p > 0.5) AS alerts FROM scored"),
     "alerts_sampled": over_tx(SCORED, FEED, "SELECT * FROM feed WHERE prediction = 'FRAUD' OR ordinal % 50 = 0"),
+    "stream_alerts_sampled": over_tx(SCORED, FEED, "SELECT * FROM feed WHERE prediction = 'FRAUD' OR ordinal % 50 = 0"),
     "alerts_first_rows": over_tx(
         SCORED, FEED, "SELECT * FROM feed WHERE ordinal <= 2000 AND (prediction = 'FRAUD' OR ordinal % 50 = 0)"
     ),
     "stream_ingest": over_tx("SELECT * FROM tx"),
+    "stream_replay": over_tx("SELECT * FROM tx"),
+    "stream_history": over_tx(
+        f"d AS (SELECT txn_id, {DEGREES} FROM tx)",
+        "SELECT DISTINCT txn_id, src_prev_steps_out_count, dst_prev_steps_in_count FROM d",
+    ),
     "stream_alerts": over_tx(SCORED, FEED, "SELECT * EXCLUDE (ordinal) FROM feed WHERE prediction = 'FRAUD'"),
     # reports
     "runs_union": over_tx(*RUNS, "SELECT * FROM runs"),

@@ -25,6 +25,7 @@ from ledgerloom.operators import (
     pagerank,
     reports,
     scoring,
+    sketches,
     training,
 )
 from ledgerloom.operators.training import NODE_FEATURES
@@ -32,6 +33,7 @@ from ledgerloom.session import scratch_path
 from ledgerloom.sources import sample
 from ledgerloom.sources.readers import read_metrics, read_requests_text, read_transactions
 from ledgerloom.sources.writers import write_csv, write_json
+from ledgerloom.streaming import history, replay
 from ledgerloom.streaming import jobs as streams
 from ledgerloom.streaming.sources import table_stream
 
@@ -40,6 +42,8 @@ QUERIES: dict[str, Query] = {}
 
 SPLIT = Split()
 SUBSET = (25, 720)
+DAY_RANGES = ((2, 8), (0, 29), (0, 10_000))
+BUCKETS = 16
 SCORER = neighbors.patterned_scorer()
 
 
@@ -93,6 +97,26 @@ def ingest_summary_approx(spark, sf_dir):
     return ingest.ingest_summary(raw).select("total_rows", "fraud_rows", "min_step", "max_step", *near)
 
 
+def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored sketches, one row per day."""
+    return sample.stored(spark, sf_dir, "day_sketches", lambda: sketches.daily_sketches(sample.silver_transactions(spark, sf_dir)))
+
+
+@query
+def ingest_summary_sketches(spark, sf_dir):
+    """Summaries of a week, a month and the whole run from day sketches; the estimates lie within 4 % of exact counts."""
+    tx, found = sample.silver_by_day(spark, sf_dir), []
+    for low, high in DAY_RANGES:
+        inside = tx.filter(F.col("day").between(low, high))
+        near = [
+            (F.abs(F.col(f"approx_distinct_{side}") / inside.agg(F.count_distinct(account)).scalar() - 1) <= 0.04).alias(f"{side}_near")
+            for side, account in sketches.SIDES.items()
+        ]
+        summary = sketches.summary_of_days(_sketches(spark, sf_dir), low, high)
+        found.append(summary.select(F.lit(low).alias("low"), F.lit(high).alias("high"), "total_rows", "fraud_rows", "min_step", "max_step", *near))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query
 def subset_step_range(spark, sf_dir):
     return ingest.step_range(sample.silver_by_day(spark, sf_dir), *SUBSET)
@@ -252,6 +276,20 @@ def training_dataset_joined(spark, sf_dir):
     return rounded(training.join_feature_tables(*tables), 10, *features.RANK_FEATURES)
 
 
+@query
+def training_dataset_bucketed(spark, sf_dir):
+    """The same table from stored tables with equal buckets, joined without a shuffle."""
+    tx = sample.silver_transactions(spark, sf_dir)
+    path = scratch_path(spark, "bucketed")
+    parts = {
+        "tabular": features.tabular_features(tx),
+        "degree": features.degree_features(tx),
+        "rank": pagerank.ranks_on_transactions(tx, ranks_layer(spark, sf_dir)),
+    }
+    tables = [training.write_bucketed(part, f"{name}_{path.split('/')[-2]}", f"{path}/{name}", BUCKETS) for name, part in parts.items()]
+    return rounded(training.join_bucketed(*tables), 10, *features.RANK_FEATURES)
+
+
 @over_silver
 def dataset_summary(tx):
     return ingest.dataset_summary(features.tabular_features(tx))
@@ -722,6 +760,33 @@ def stream_alerts(spark, sf_dir):
     return streams.drain(streams.alert_stream(scored).select(*FEED_COLUMNS), "stream_alerts")
 
 
+@query
+def stream_history(spark, sf_dir):
+    """Prior counts of both accounts of every arriving transaction, from keyed state."""
+    arrived = streams.ingest_stream(_raw_stream(spark, sf_dir), canonical="cents")
+    return history.history_columns(streams.drain(history.history_stream(arrived), "stream_history"))
+
+
+@query
+def stream_alerts_sampled(spark, sf_dir):
+    """The feed as a stream: alerts and every 50th row of the whole run."""
+    arrived = ingest.high_risk(streams.ingest_stream(_raw_stream(spark, sf_dir), canonical="cents"))
+    scored = sample.with_scores(arrived.filter(split_label(SPLIT) == "test")).select("step", "txn_id", "nameOrig", "nameDest", "p", "isFraud")
+    path = scratch_path(spark, "feed")
+    streams.run_batches(scored, streams.write_feed(f"{path}/feed"), f"{path}/timings", f"{path}/state")
+    return spark.read.parquet(f"{path}/feed").select(*FEED_COLUMNS, "ordinal")
+
+
+@query
+def stream_replay(spark, sf_dir):
+    """All transactions arrive, and arrive again in a second run: each is stored once."""
+    arrived = streams.ingest_stream(_raw_stream(spark, sf_dir), canonical="cents")
+    path = scratch_path(spark, "replay")
+    for run in ("first", "again"):
+        streams.run_batches(arrived, replay.write_new_rows(path, run), f"{path}/timings_{run}", f"{path}/state_{run}")
+    return replay.stored_rows(spark, path, arrived)
+
+
 # --- reports -----------------------------------------------------------------------------------
 
 
