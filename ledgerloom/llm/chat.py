@@ -177,7 +177,10 @@ def digests(segments: DataFrame) -> DataFrame:
         if current is not None:
             yield pa.record_batch([pa.array([v], k) for v, k in zip(current.row(), kinds)], names=names)
 
-    ordered = segments.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "segment")
+    # Turns that tie in number and role go by their text, so the end mark and the escapes come off first.
+    content = F.substring("segment", F.lit(1), F.length("segment") - len(END) - 1)
+    text = F.regexp_replace(content, r"<(\\*)\\\|", "<$1|")
+    ordered = segments.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", text)
     return ordered.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(
         run,
         f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",

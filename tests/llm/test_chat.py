@@ -71,6 +71,13 @@ def test_ties_and_missing_numbers(spark):
     assert tuple(row)[1:] == reference([("user", "first"), ("assistant", "a"), ("assistant", "a"), ("user", "b")])
 
 
+@pytest.mark.parametrize("tied", [("a", "a!"), ("<a", "<|q"), ("<\\|a", "<|b", "<|b"), ("", "\n", "x<|im_end|>", "x")])
+def test_tied_turns_go_by_their_text(spark, tied):
+    frame = spark.createDataFrame([(1, 2, "user", t) for t in tied], "conv_id long, turn long, role string, text string")
+    (row,) = chat.digests(chat.format_turns(frame)).collect()
+    assert tuple(row)[1:] == reference([("user", t) for t in sorted(tied)])
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_turns(frame)).count() == 0
