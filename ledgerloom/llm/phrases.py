@@ -49,7 +49,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAST, LONGEST, SHARE, TOP = 100, 5, 100, 2000
 #: Hash partitions for each shuffle partition; occurrences that a task counts together.
-SLOTS, CHUNK = 4, 2_000_000
+SLOTS, CHUNK = 4, 1_000_000
 #: Capacity of a summary as a multiple of mass / LEAST.
 SPARE = 8
 #: Bits of the map of survivors (8 MB); a power of two.
