@@ -32,7 +32,8 @@ from ledgerloom.operators.training import NODE_FEATURES
 from ledgerloom.sources.readers import read_metrics, read_requests_text, read_stored, read_table, read_transactions
 from ledgerloom.sources.schema import TRANSACTION_COLUMNS
 from ledgerloom.sources.writers import write_counted, write_csv, write_json, write_ragged_csv, write_table
-from ledgerloom.streaming.jobs import ingest_stream, latency_report, run_available, run_batches, write_decisions, write_feed
+from ledgerloom.streaming.figures import latency_report
+from ledgerloom.streaming.jobs import ingest_stream, run_available, run_batches, write_decisions, write_feed
 from ledgerloom.streaming.sources import request_stream, table_stream, transaction_stream
 
 Step = Callable[[SparkSession, RunConfig], dict]
