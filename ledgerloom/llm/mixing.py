@@ -1,29 +1,38 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every document gets a rate, the copies the mix takes of it. Among all rates that meet
-the token constraints, entropy balancing takes those with the least relative entropy
-to one copy each, measured over tokens: rate = exp(sum of the multipliers of the
-document's margin values). A margin is a set of disjoint groups, such as the sources,
-with a token target each. The multipliers minimise the convex dual
-
-    sum over documents of size * exp(multipliers) - sum over groups of target * multiplier
-
-by Newton iterations, one margin after the other: groups of one margin are disjoint,
-so its Hessian block is diagonal, and gradient and curvature are sums that Spark
-aggregates. Documents with equal margin values have equal rates, so they are
-pre-aggregated once. With one margin the iteration converges quadratically to its
-closed form; with several it rakes them.
-
-Rates become copies by sampling without a generator: every document takes the whole
-part, and one more if its hash is at most its source's cut. The cut is the prefix, in
-hash order, whose words come nearest to what is missing, found by distributed running
-totals; then at most ``FLIPS`` single documents per source are switched where that
-brings the source nearer. Only hashes decide, so reruns agree.
+Every document gets a rate, the copies the mix takes of it. Among all rates from 0 to
+``MOST`` (2) that meet the token constraints, entropy balancing takes those with the
+least relative entropy to one copy of each document. A margin is a set of disjoint
+groups, such as the sources, with a token target each; the rates are
+
+    rate(document) = min(MOST, exp(words of the document * sum of its multipliers))
+
+so a source that must shrink gives up long documents first and one that must grow
+repeats them first. The multipliers minimise the convex dual
+
+    sum over documents of F(words * multipliers) - sum over groups of target * multiplier
+
+where F is the integral of min(MOST, exp). Newton iterations solve it, one margin after
+the other: groups of one margin are disjoint, so its Hessian block is diagonal, and
+gradient and curvature are sums that Spark aggregates. Steps are taken on the logarithm
+of a group's tokens and kept between bounds that hold its solution. Documents with equal
+words and margin values have equal rates, so an iteration reads one row per such cell.
+Sums are exact decimals, so their order does not matter.
+
+Rates become copies by Pareto sampling without a generator: a document takes the whole
+part, and its fraction f against its hash u gives it a place u (1 - f) / (f (1 - u)).
+Those up to its source's cut take one more. The cut is the prefix of places whose words
+come nearest to what is missing, found by distributed running totals; then at most
+``FLIPS`` single places per source are switched where that brings the source nearer.
+Only hashes and rates decide, so reruns agree.
 
 Targets: sources in code point order, null last, weigh 3, 1, 2, repeating; they share
 150 % of all words; none gets more than twice its own, the excess is reshared by
-weight. Defined cases: null text has size 0; the null source is a source; without
-words all targets, rates and takings are 0; rows that repeat an id share its hash.
+weight. Defined cases: null text has size 0; a document without words keeps rate 1, as
+no constraint reaches it; the null source is a source; without words all targets and
+takings are 0; rows that repeat id and size share their place; texts of any length
+count whole; columns other than doc_id, source and text are carried along, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -38,7 +47,9 @@ from ledgerloom.operators.ordering import number_rows, running_totals
 from ledgerloom.session import cut_lineage, materialize
 
 WEIGHTS, SHARE, MOST, FLIPS = (3.0, 1.0, 2.0), 1.5, 2, 3
-TOLERANCE, ROUNDS = 1e-10, 60
+#: Largest relative error of a group's tokens; Newton steps per margin; passes over several margins.
+TOLERANCE, ROUNDS, PASSES = 1e-9, 80, 60
+EXACT = "decimal(38, 9)"
 
 
 def words(text: Column) -> Column:
@@ -68,91 +79,172 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return weighed.select("source", "source_size", F.least(limit, F.col("weight") * level).alias("target"))
 
 
+def rate(size: Column, multiplier: Column) -> Column:
+    """Copies of a document of ``size`` words at the sum of its groups' multipliers."""
+    return F.when(size <= 0, F.lit(1.0)).otherwise(F.least(F.lit(float(MOST)), F.exp(size * multiplier)))
+
+
 def balance(cells: DataFrame, margins: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """``cells`` with ``log_rate``: the entropy-balanced rate of each combination of margin values.
+    """``cells`` with ``multiplier``, the sum over a cell's groups.
 
-    ``cells`` has the margins' columns and ``size``; a margin is (column, targets with
-    that column and ``target``). A group whose target is 0 gets rate 0 (``log_rate``
-    minus infinity); a group without words keeps rate 1.
+    ``cells`` has the margins' columns, ``size`` and ``n``, its documents; a margin is
+    (column, targets with that column and ``target``). A group with target 0 has
+    multiplier minus infinity; groups without words or without a target have 0.
     """
-    state = cut_lineage(cells.withColumn("log_rate", F.lit(0.0)))
-    for _ in range(ROUNDS):
-        largest = 0.0
+    columns = cells.columns
+    state = cut_lineage(cells.withColumn("multiplier", F.lit(0.0)))
+    for _ in range(PASSES):
+        moved = 0.0
         for column, targets in margins:
-            mass = F.col("size") * F.exp("log_rate")
-            group = state.groupBy(column).agg(F.sum(mass).alias("mass"))
-            joined = group.join(targets.select(F.col(column).alias("_value"), "target"), group[column].eqNullSafe(F.col("_value")))
-            # Gradient mass - target over curvature mass, in steps of at most 1 below.
-            newton = F.when(F.col("target") <= 0, F.lit(-math.inf)).when(F.col("mass") <= 0, F.lit(0.0)).otherwise(
-                F.greatest((F.col("target") - F.col("mass")) / F.col("mass"), F.lit(-1.0))
-            )
-            steps = cut_lineage(joined.select(F.col(column).alias("_group"), newton.alias("step")))
-            moved = state.join(steps, state[column].eqNullSafe(steps["_group"]), "left")
-            state = cut_lineage(
-                moved.select(*cells.columns, (F.col("log_rate") + F.ifnull("step", F.lit(0.0))).alias("log_rate"))
-            )
-            size_of = steps.filter(F.col("step") > -math.inf).agg(F.max(F.abs("step"))).first()[0]
-            largest = max(largest, size_of or 0.0)
-        if largest <= TOLERANCE:
+            found = _solve(state, column, targets)
+            moved = max(moved, found.agg(F.max("error")).first()[0] or 0.0)
+            added = found.select(F.col("_group"), F.col("step"))
+            joined = state.join(added, state[column].eqNullSafe(added["_group"]), "left")
+            state = cut_lineage(joined.select(*columns, (F.col("multiplier") + F.ifnull("step", F.lit(0.0))).alias("multiplier")))
+        if len(margins) == 1 or moved <= TOLERANCE:
             break
     return state
 
 
+def _solve(state: DataFrame, column: str, targets: DataFrame) -> DataFrame:
+    """(_group, step, error): the multiplier to add to each group of one margin, the others fixed.
+
+    ``error`` is the relative distance from the target before the step.
+    """
+    size, n, target = F.col("size"), F.col("n"), F.col("target")
+
+    def summed(term: Column) -> Column:
+        return F.sum(term.cast(EXACT)).cast("double")
+
+    def tokens(multiplier: Column) -> tuple[Column, Column]:
+        """A group's tokens, and their slope: capped documents do not move."""
+        each = size * multiplier
+        slope = F.when(each < math.log(MOST), n * size * size * F.exp(each)).otherwise(0.0)
+        return summed(n * size * rate(size, multiplier)), summed(slope)
+
+    mass, slope = tokens(F.col("multiplier"))
+    wordy = state.filter((size > 0) & (F.col("multiplier") > -math.inf))
+    groups = wordy.groupBy(F.col(column).alias("_group")).agg(
+        mass.alias("mass"), slope.alias("slope"), F.min("size").alias("least"), F.max("size").alias("most"),
+        F.min("multiplier").alias("low"), F.max("multiplier").alias("high"), (summed(n * size) * MOST).alias("all"),
+    )
+    wanted = targets.select(F.col(column).alias("_wanted"), "target")
+    groups = groups.join(wanted, F.col("_group").eqNullSafe(F.col("_wanted"))).drop("_wanted")
+    # At these steps every document of the group has at least MOST copies, or at most its share of the target.
+    top = math.log(MOST) / F.col("least") - F.col("low")
+    floor = F.least(F.log(target / F.col("all")) / F.col("least") - F.col("high"), F.lit(0.0))
+    error = F.abs(F.col("mass") - target)
+    allowed = F.greatest(target, F.lit(1.0)) * TOLERANCE
+    fixed = F.when(target <= 0, F.lit(-math.inf)).when(target >= F.col("all") * (1 - TOLERANCE), F.greatest(top, F.lit(0.0)))
+    known = groups.select(
+        "_group", "target", (error / F.greatest(target, F.lit(1.0))).alias("error"),
+        F.when(F.col("mass") > target, floor).otherwise(0.0).alias("low"),
+        F.when(F.col("mass") > target, F.lit(0.0)).otherwise(F.greatest(top, F.lit(0.0))).alias("high"),
+        F.ifnull(fixed, F.lit(0.0)).alias("step"), "mass", "slope",
+        (fixed.isNotNull() | (error <= allowed)).alias("done"),
+    )
+    known = cut_lineage(known)
+    for _ in range(ROUNDS):
+        if known.filter(~F.col("done")).isEmpty():
+            break
+        newton = F.col("step") + F.log(target / F.col("mass")) * F.col("mass") / F.nullif(F.col("slope"), F.lit(0.0))
+        inside = (newton > F.col("low")) & (newton < F.col("high"))
+        # The bounds span orders of magnitude: halve them as powers once they have one sign.
+        product = F.col("low") * F.col("high")
+        middle = F.when(product > 0, F.signum("low") * F.sqrt(product)).otherwise((F.col("low") + F.col("high")) / 2)
+        tried = F.when(F.col("done"), F.col("step")).when(F.ifnull(inside, F.lit(False)), newton).otherwise(middle)
+        known = known.withColumn("step", tried)
+        trial = known.filter(~F.col("done")).select(F.col("_group").alias("_trial"), F.col("step").alias("_step"))
+        now, rise = tokens(F.col("multiplier") + F.col("_step"))
+        sums = wordy.join(trial, wordy[column].eqNullSafe(F.col("_trial"))).groupBy("_trial").agg(now.alias("_mass"), rise.alias("_slope"))
+        sums = sums.withColumn("_known", F.lit(True))
+        seen = known.join(sums, F.col("_group").eqNullSafe(F.col("_trial")), "left")
+        # Solved groups have no trial, so they keep their bounds.
+        above, below = F.col("_mass") > target, F.col("_mass") < target
+        near = F.abs(F.col("_mass") - target) <= allowed
+        tight = F.abs(F.col("high") - F.col("low")) <= 1e-15 * F.abs(F.col("high"))
+        known = cut_lineage(
+            seen.select(
+                "_group", "target", "error",
+                F.when(below, F.col("step")).otherwise(F.col("low")).alias("low"),
+                F.when(above, F.col("step")).otherwise(F.col("high")).alias("high"),
+                "step",
+                F.ifnull("_mass", F.col("mass")).alias("mass"),
+                F.ifnull("_slope", F.col("slope")).alias("slope"),
+                (F.col("done") | F.ifnull(near | tight, F.lit(False))).alias("done"),
+            )
+        )
+    return known.select("_group", "step", "error")
+
+
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sized documents, rule per source) for ``docs(doc_id, source, text)``.
 
-    A rule holds the whole copies, the hash up to which a document takes one more, and
-    the hashes for which that is switched; ``copies`` applies it to any row.
+    A rule holds the source's multiplier, the place up to which a document takes one more
+    copy, and the places for which that is switched; ``with_copies`` applies it to any row.
     """
-    sized = materialize(
-        docs.select("doc_id", "source", words(F.col("text")).alias("size"), draw(F.col("doc_id")).alias("draw")), "sizes"
-    )
+    sized = materialize(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
     targets = materialize(source_targets(sized), "targets")
-    cells = sized.groupBy("source").agg(F.sum("size").alias("size"))
-    rates = balance(cells, [("source", targets)]).select(F.col("source").alias("_source"), F.exp("log_rate").alias("rate"))
-    joined = targets.join(rates, targets["source"].eqNullSafe(rates["_source"]))
-    whole = F.least(F.floor(F.col("rate") + 1e-9), F.lit(MOST)).cast("int")
-    rules = joined.select("source", "source_size", "target", "rate", whole.alias("whole")).withColumn(
-        "missing", F.when(F.col("whole") < MOST, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0)
+    cells = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    solved = balance(cells, [("source", targets)]).filter("size > 0")
+    found = solved.groupBy(F.col("source").alias("_source")).agg(F.min("multiplier").alias("multiplier"))
+    rules = targets.join(found, targets["source"].eqNullSafe(found["_source"]), "left").select(
+        "source", "source_size", "target", F.ifnull("multiplier", F.lit(0.0)).alias("multiplier")
+    )
+    rules = materialize(rules, "multipliers")
+    placed = _placed(sized, rules)
+    whole = placed.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("held"))
+    # Documents of one source with equal places go together; those without a fraction have none.
+    drawn = placed.filter("place is not null").groupBy("source", "place").agg(F.sum("size").alias("size"))
+    counted = materialize(running_totals(drawn, ["place"], ["size"], ["source"]).select("source", "place", "size", "size_so_far"), "places")
+    missing = rules.join(whole.withColumnRenamed("source", "_held"), F.col("source").eqNullSafe(F.col("_held"))).select(
+        F.col("source").alias("_source"), (F.col("target") - F.col("held")).alias("missing")
     )
-    rules = materialize(rules, "rates")
-    # Documents of one source with equal hashes go together.
-    drawn = sized.groupBy("source", "draw").agg(F.sum("size").alias("size"))
-    counted = materialize(running_totals(drawn, ["draw"], ["size"], ["source"]).select("source", "draw", "size", "size_so_far"), "draws")
-    with_rule = counted.join(rules.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    missing = cut_lineage(missing)
+    with_rule = counted.join(missing, F.col("source").eqNullSafe(F.col("_source")))
     off = F.abs(F.col("size_so_far") - F.col("missing"))
-    best = with_rule.groupBy("_source").agg(F.min_by(F.struct("draw", "size_so_far", "missing"), F.struct(off, "draw")).alias("cut"))
-    use = F.abs(F.col("cut.size_so_far") - F.col("cut.missing")) < F.col("cut.missing")
+    best = with_rule.groupBy("_source").agg(F.min_by(F.struct("place", "size_so_far", "missing"), F.struct(off, "place")).alias("cut"))
+    use = F.abs(F.col("cut.size_so_far") - F.col("cut.missing")) < F.abs(F.col("cut.missing"))
     cuts = best.select(
         F.col("_source"),
-        F.when(use, F.col("cut.draw")).alias("cut"),
+        F.when(use, F.col("cut.place")).alias("cut"),
         (F.col("cut.missing") - F.when(use, F.col("cut.size_so_far")).otherwise(0)).alias("off"),
-        F.array().cast("array<bigint>").alias("flips"),
+        F.array().cast("array<double>").alias("flips"),
     )
     cuts = cut_lineage(cuts)
     for _ in range(FLIPS):
-        cuts = cut_lineage(_flip(counted, rules, cuts))
-    found = cuts.select("_source", "cut", "flips")
-    rules = rules.join(found, rules["source"].eqNullSafe(found["_source"]), "left").drop("_source")
+        cuts = cut_lineage(_flip(counted, cuts))
+    chosen = cuts.select("_source", "cut", "flips")
+    rules = rules.join(chosen, rules["source"].eqNullSafe(chosen["_source"]), "left").drop("_source")
     return sized, materialize(rules, "rules")
 
 
 def draw(doc_id: Column) -> Column:
-    return F.xxhash64(doc_id, F.lit("mix"))
+    """A hash of the id between 0 and 1, both left out."""
+    return (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit("mix")), 11) + 0.5) / float(2**53)
 
 
-def _flip(counted: DataFrame, rules: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Switch the one hash per source that brings its words nearest to the target."""
-    fixed = cuts.join(rules.select(F.col("source").alias("_s"), "whole"), F.col("_source").eqNullSafe(F.col("_s")))
-    rows = counted.join(fixed, counted["source"].eqNullSafe(F.col("_source")))
-    extra = F.ifnull(F.col("draw") <= F.col("cut"), F.lit(False))
-    flipped = F.array_contains("flips", F.col("draw"))
-    # A document that takes an extra copy loses it; one that does not gains it, below the most.
+def _placed(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows(doc_id, source, size, ...)`` with ``_rule``, ``rate``, ``whole`` copies and the ``place`` among the source's fractions."""
+    rule = rules.select(F.col("source").alias("_source"), F.struct(*[c for c in rules.columns if c != "source"]).alias("_rule"))
+    joined = rows.join(rule, rows["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
+    joined = joined.withColumn("rate", rate(F.col("size"), F.col("_rule.multiplier")))
+    whole = F.least(F.floor(F.col("rate") + 1e-9), F.lit(MOST)).cast("int")
+    part, number = F.col("rate") - F.col("whole"), draw(F.col("doc_id"))
+    place = number * (1 - part) / (part * (1 - number))
+    return joined.withColumn("whole", whole).withColumn("place", F.when((part > 1e-12) & (F.col("size") > 0), place))
+
+
+def _flip(counted: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Switch the one place per source that brings its words nearest to the target."""
+    rows = counted.join(cuts, counted["source"].eqNullSafe(F.col("_source")))
+    extra = F.ifnull(F.col("place") <= F.col("cut"), F.lit(False))
+    # A document that takes an extra copy loses it; one that does not gains it.
     change = F.when(extra, -F.col("size")).otherwise(F.col("size"))
-    may = ~flipped & (extra | (F.col("whole") < MOST)) & (F.col("size") > 0)
     left = F.col("off") - change
-    candidate = F.when(may & (F.abs(left) < F.abs(F.col("off"))), F.struct("draw", left.alias("left")))
-    best = rows.groupBy("_source").agg(F.min_by(candidate, F.when(candidate.isNotNull(), F.struct(F.abs(left), "draw"))).alias("best"))
+    may = ~F.array_contains("flips", F.col("place")) & (F.abs(left) < F.abs(F.col("off")))
+    candidate = F.when(may, F.struct("place", left.alias("left")))
+    best = rows.groupBy("_source").agg(F.min_by(candidate, F.when(may, F.struct(F.abs(left), "place"))).alias("best"))
     chosen = best.select(F.col("_source").alias("_b"), "best")
     joined = cuts.join(chosen, cuts["_source"].eqNullSafe(F.col("_b")), "left")
     better = F.col("best").isNotNull()
@@ -160,19 +252,16 @@ def _flip(counted: DataFrame, rules: DataFrame, cuts: DataFrame) -> DataFrame:
         "_source",
         "cut",
         F.when(better, F.col("best.left")).otherwise(F.col("off")).alias("off"),
-        F.when(better, F.array_append("flips", F.col("best.draw"))).otherwise(F.col("flips")).alias("flips"),
+        F.when(better, F.array_append("flips", F.col("best.place"))).otherwise(F.col("flips")).alias("flips"),
     )
 
 
 def with_copies(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rows(doc_id, source, ...)`` with ``copies`` and the source's rule columns as ``_rule``."""
-    rule = rules.select(F.col("source").alias("_source"), F.struct("source_size", "target", "rate", "whole", "cut", "flips").alias("_rule"))
-    joined = rows.join(rule, rows["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
-    number = draw(F.col("doc_id"))
-    extra = F.ifnull(number <= F.col("_rule.cut"), F.lit(False))
-    switched = F.ifnull(F.array_contains("_rule.flips", number), F.lit(False))
-    copies = F.least(F.col("_rule.whole") + (extra != switched).cast("int"), F.lit(MOST))
-    return joined.withColumn("copies", F.ifnull(copies, F.lit(0)))
+    """``rows(doc_id, source, size, ...)`` with ``copies``, ``rate`` and the source's rule columns as ``_rule``."""
+    placed = _placed(rows, rules)
+    extra = F.ifnull(F.col("place") <= F.col("_rule.cut"), F.lit(False))
+    switched = F.ifnull(F.array_contains("_rule.flips", F.col("place")), F.lit(False))
+    return placed.withColumn("copies", F.col("whole") + (extra != switched).cast("int"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -184,12 +273,13 @@ def mix(docs: DataFrame) -> DataFrame:
         F.col("_rule.source_size").alias("source_size"),
         F.col("_rule.target").alias("target"),
         (F.col("copies") * F.col("size")).alias("taken"),
-        F.col("_rule.rate").alias("rate"),
+        "rate",
     )
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
     _, rules = plan(docs)
-    repeated = with_copies(docs, rules).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    given = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    counted = with_copies(given, rules).select("_row", "copies")
+    return counted.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")

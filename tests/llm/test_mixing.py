@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,25 +79,86 @@ def test_repeated_ids_go_together(make_docs):
     assert all(len(t) == 1 for t in taken.values())
 
 
-def test_documents_are_repeated(make_docs):
-    docs = make_docs(*[(i, "a b c d", "en", f"s{i % 4}") for i in range(80)]).withColumnRenamed("lang", "copies")
-    expected = {r.doc_id: r.taken // 4 for r in mixing.mix(docs).collect()}
+def test_documents_are_repeated(spark, make_docs):
+    """Also with columns of the operator's own names; their values stay."""
+    rows = [(i, "a b c d " * (1 + i % 5), "en", f"s{i % 4}") for i in range(80)]
+    docs = make_docs(*rows)
+    expected = {r.doc_id: r.taken // r["size"] for r in mixing.mix(docs).collect()}
+    for name in ("copies", "_rule", "_source", "_row", "size", "rate", "place", "whole"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    docs = docs.withColumn("m", F.create_map("copies", "rate"))
     found = mixing.mixed_documents(docs)
     assert found.columns == docs.columns
-    counts = {r.doc_id: r["count"] for r in found.groupBy("doc_id").count().collect()}
+    given = {r.doc_id: r for r in docs.collect()}
+    counts = {}
+    for r in found.collect():
+        assert r == given[r.doc_id]
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
     assert counts == {d: n for d, n in expected.items() if n}
 
 
+def solve(sizes, target, most=2.0):
+    """The dual of one group by plain bisection: the multiplier at which the rates meet the target."""
+    sizes = np.array(sizes, float)
+    low, high = -800.0, 800.0
+    for _ in range(300):
+        middle = (low + high) / 2
+        if (sizes * np.minimum(most, np.exp(np.minimum(sizes * middle, 50.0)))).sum() < target:
+            low = middle
+        else:
+            high = middle
+    return (low + high) / 2
+
+
+def test_rates_equal_a_plain_solver(spark, small_docs):
+    """Rates differ with the words inside a source, meet its target, and are those of the dual's solution."""
+    found = mixing.mix(small_docs).collect()
+    source_of = {r.doc_id: r.source for r in small_docs.collect()}
+    groups = {}
+    for r in found:
+        groups.setdefault(source_of[r.doc_id], []).append(r)
+    free = 0
+    for rows in groups.values():
+        sizes, rates = np.array([r["size"] for r in rows]), np.array([r.rate for r in rows])
+        target = rows[0].target
+        assert (sizes * rates).sum() == pytest.approx(target, rel=1e-6)
+        if target < 2 * sizes.sum() * (1 - 1e-6):
+            free += 1
+            assert rates == pytest.approx(np.minimum(2.0, np.exp(sizes * solve(sizes, target))), rel=1e-6)
+            assert len(set(rates)) > 1
+    assert free
+
+
+def test_newton_meets_every_target(spark):
+    """Sizes from 1 to 30,000 words: the bounds hold the solution wherever it lies."""
+    sizes = [1, 1, 2, 7, 40, 300, 30_000]
+    targets = [0.0, 1e-3, 5.0, 150.0, 20_000.0, 31_000.0, 40_000.0, 60_000.0, 2.0 * sum(sizes)]
+    rows = [(i, x, sizes.count(x)) for i in range(len(targets)) for x in sorted(set(sizes))]
+    cells = spark.createDataFrame(rows, "s int, size long, n long")
+    solved = mixing.balance(cells, [("s", spark.createDataFrame(list(enumerate(targets)), "s int, target double"))])
+    found = {}
+    for r in solved.withColumn("rate", mixing.rate(F.col("size"), F.col("multiplier"))).collect():
+        found.setdefault(r.s, {})[r["size"]] = r.rate
+    for i, target in enumerate(targets):
+        rates = [found[i][x] for x in sizes]
+        assert sum(x * r for x, r in zip(sizes, rates)) == pytest.approx(target, rel=1e-6, abs=1e-6)
+        if 0 < target < 2 * sum(sizes):
+            plain = np.minimum(2.0, np.exp(np.minimum(np.array(sizes) * solve(sizes, target), 50.0)))
+            assert rates == pytest.approx(plain, rel=1e-5, abs=1e-7)
+
+
 def test_newton_rakes_several_margins(spark):
     cells = spark.createDataFrame(
-        [("a", "x", 10), ("a", "y", 30), ("b", "x", 20), ("b", "y", 40), ("c", "z", 5)], "s string, l string, size long"
+        [("a", "x", 1, 10), ("a", "y", 3, 10), ("b", "x", 2, 10), ("b", "y", 4, 10), ("c", "z", 5, 1)], "s string, l string, size long, n long"
     )
-    sources = spark.createDataFrame([("a", 60.0), ("b", 60.0), ("c", 0.0)], "s string, target double")
-    languages = spark.createDataFrame([("x", 50.0), ("y", 70.0)], "l string, target double")
-    solved = mixing.balance(cells, [("s", sources), ("l", languages)]).withColumn("mass", F.col("size") * F.exp("log_rate"))
-    for column, targets in (("s", {"a": 60, "b": 60, "c": 0}), ("l", {"x": 50, "y": 70})):
-        sums = {r[column]: r.mass for r in solved.groupBy(column).agg(F.sum("mass").alias("mass")).collect()}
-        assert {k: sums[k] for k in targets} == pytest.approx(targets, rel=1e-6)
-    rate = {(r.s, r.l): r.log_rate for r in solved.collect()}
-    # Exponential tilting: log rates are sums of one multiplier per margin.
-    assert rate["a", "x"] + rate["b", "y"] == pytest.approx(rate["a", "y"] + rate["b", "x"])
+    sources = spark.createDataFrame([("a", 50.0), ("b", 50.0), ("c", 0.0)], "s string, target double")
+    languages = spark.createDataFrame([("x", 35.0), ("y", 65.0)], "l string, target double")
+    solved = mixing.balance(cells, [("s", sources), ("l", languages)]).withColumn("rate", mixing.rate(F.col("size"), F.col("multiplier")))
+    rows = solved.collect()
+    assert all(0.0 <= r.rate <= 2.0 for r in rows)
+    for column, targets in (("s", {"a": 50, "b": 50, "c": 0}), ("l", {"x": 35, "y": 65})):
+        for value, target in targets.items():
+            assert sum(r.n * r["size"] * r.rate for r in rows if r[column] == value) == pytest.approx(target, rel=1e-5, abs=1e-9)
+    by = {(r.s, r.l): r.multiplier for r in rows}
+    # One multiplier per margin value.
+    assert by["a", "x"] + by["b", "y"] == pytest.approx(by["a", "y"] + by["b", "x"])
