@@ -96,44 +96,6 @@ def test_clean_documents_keep_their_columns(labelled):
     assert kept.count() == expected > 300
 
 
-def test_models_are_distributions():
-    rng = np.random.default_rng(4)
-    counts = [np.where(rng.random(toxicity.CELLS) < 0.01, rng.integers(1, 9, toxicity.CELLS), 0).astype(float) for _ in range(2)]
-    shared = toxicity.shared_model(counts[0] + counts[1])
-    assert shared.reshape(-1, toxicity.SYMBOLS).sum(axis=1) == pytest.approx(1.0)
-    for own in counts:
-        assert toxicity.class_model(own, shared).reshape(-1, toxicity.SYMBOLS).sum(axis=1) == pytest.approx(1.0)
-    # What neither class has seen is equally likely in both.
-    assert np.abs(toxicity.ratio_table(np.zeros(toxicity.CELLS), np.zeros(toxicity.CELLS))).max() == 0.0
-
-
-def test_grams_of_every_document():
-    table = toxicity.symbol_table()
-    texts = ["", "Ab", None, "z9 é", "x"]
-    for piece in pieces(pa.array(texts, pa.string())):
-        grams, starts = toxicity.gram_stream(piece, table)
-        for i, text in enumerate(texts):
-            symbols = [0, 0, 0, *table[list((text or "").encode())].tolist(), 0]
-            expected = [sum(s << 5 * (3 - k) for k, s in enumerate(symbols[j : j + 4])) for j in range(len(symbols) - 3)]
-            end = starts[i + 1] if i + 1 < len(starts) else len(grams)
-            assert grams[starts[i] : end].tolist() == expected
-
-
-def test_largest_stretch_is_found():
-    ratios = np.zeros(toxicity.CELLS, np.float32)
-    rng = np.random.default_rng(0)
-    ratios[:] = rng.normal(size=toxicity.CELLS)
-    table = toxicity.symbol_table()
-    for piece in pieces(pa.array(["the cat sat on the mat and then left", "a", ""])):
-        grams, starts = toxicity.gram_stream(piece, table)
-        found = toxicity.piece_features(piece, ratios, table)
-        for i in range(2):
-            own = ratios[grams[starts[i] : starts[i + 1]]].astype(float)
-            sums = [own[max(0, j + 1 - toxicity.STRETCH) : j + 1].sum() / toxicity.STRETCH for j in range(len(own))]
-            assert found[i] == pytest.approx([max(sums), own.mean()], rel=1e-5, abs=1e-6)
-        assert found[2].tolist() == [0.0, 0.0]
-
-
 @pytest.fixture(scope="module")
 def spoken(make_docs):
     rows = [(n, t, lang, "s") for k, lang in enumerate(VOCABULARY) for n, t in enumerate(sentences(k, 120, VOCABULARY[lang]), 1000 * k)]
