@@ -275,8 +275,9 @@ def load(table: DataFrame, unseen: int, limit: int = TABLE_ROWS) -> ToxicityMode
     """A model without calibration; its table is broadcast if it is counted to have at most ``limit`` rows."""
     if table.count() > limit:
         return ToxicityModel(table, unseen, None)
-    rows = table.toPandas()
-    grams = Grams.of(*[rows[c].to_numpy() for c in ("gram", "ratio", "back")], unseen)
+    # As Arrow columns: rows would cost the driver some 500 bytes each.
+    rows = table.toArrow()
+    grams = Grams.of(*[rows.column(c).to_numpy() for c in ("gram", "ratio", "back")], unseen)
     return ToxicityModel(table, unseen, table.sparkSession.sparkContext.broadcast(grams))
 
 
