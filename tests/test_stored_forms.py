@@ -7,6 +7,7 @@ from conftest import records
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import features, ingest, sketches, training
+from ledgerloom.plans import queries
 from ledgerloom.sources import sample
 
 
@@ -36,3 +37,36 @@ def test_bucketed_tables_join_where_they_lie(spark, make_tx, tmp_path):
     assert records(joined, "txn_id") == records(training.join_feature_tables(*parts.values()).select(*joined.columns), "txn_id")
     for name in parts:
         spark.sql(f"DROP TABLE bucketed_{name}")
+
+
+def test_packed_ids_come_back_as_they_were(spark):
+    digest = "0123456789abcdef" * 4
+    texts = [digest, digest.upper(), digest + "\n", digest[:-1], "", "a", "ä" * 16, "x" * 32, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "place INT, txn_id STRING")
+    packed = training.with_packed_id(rows)
+    assert packed.agg(F.count_distinct("txn_id"), F.min(F.octet_length("txn_id"))).first()[:] == (8, 32)
+    assert [r.txn_id for r in training.with_text_id(packed).orderBy("place").collect()] == texts
+
+
+def test_buckets_grow_with_the_rows():
+    assert training.bucket_count(60_000, 16) == 16
+    assert training.bucket_count(216_000_000, 16) == 216
+
+
+def test_row_ids_do_not_move(spark, small_dir):
+    """Neither to the day folders nor into the learning queries."""
+    tx = sample.silver_transactions(spark, small_dir)
+    plain = ingest.ingest(sample.raw_transactions(spark, small_dir), canonical="cents")
+    assert tx.columns == plain.columns
+    assert tx.exceptAll(plain).isEmpty() and plain.exceptAll(tx).isEmpty()
+    assert "txn_id" not in queries.training_layer(spark, small_dir).columns
+
+
+def test_unique_ids_are_told_by_their_hashes(spark):
+    for ids, unique in ((["a", "b", None], True), (["a", "b", "a"], False), ([None, None], False)):
+        rows = spark.createDataFrame([(i,) for i in ids], "txn_id STRING")
+        if unique:
+            training.require_unique_ids(rows)
+        else:
+            with pytest.raises(training.DuplicateRows):
+                training.require_unique_ids(rows)
