@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies: five-word shingles, similarity 0.8."""
+    """The document with the smallest id of each component of near copies: SimHash, then similarity 0.8."""
     return copies.one_per_group(docs)
 
 

@@ -3,8 +3,10 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import copies
+from ledgerloom.llm.simhash import RADIUS, fingerprints
 
 
 def shingles(text):
@@ -65,3 +67,17 @@ def test_repeated_and_absent_ids(make_docs):
 
 def test_empty_table(make_docs):
     assert copies.one_per_group(make_docs()).count() == 0
+
+
+def test_fingerprints_bring_candidates(make_docs, spark, monkeypatch):
+    """Without any band a pair of near fingerprints is still found, and checked by its similarity."""
+    monkeypatch.setattr(copies, "band_keys", lambda classes: classes.select(F.col("key").alias("bucket"), "key").limit(0))
+    base = " ".join([f"w{i}" for i in range(400)] * 30)
+    near, far = (f"{base} {' '.join(f't{i}' for i in range(n))}" for n in (60, 150))
+    docs = make_docs((1, base), (2, near), (3, far), (4, "a text of its own that nobody else has written"))
+    prints = [r.print for r in fingerprints(docs).orderBy("doc_id").collect()]
+    assert all(((prints[0] ^ p) & (2**64 - 1)).bit_count() <= RADIUS for p in prints[1:3])
+    # 400 of 460 shingles in common, but only 400 of 550; the second and third have 460 of 550.
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs.filter("doc_id <> 3"), "").collect()) == [1, 4]
+    assert sorted(r.doc_id for r in stage(spark, docs.filter("doc_id <> 2"), "").collect()) == [1, 3, 4]
