@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from conftest import records
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import features, ingest, sketches, training
 from ledgerloom.plans import queries
+from ledgerloom.session import FREE_KEY, materialize
 from ledgerloom.sources import sample
 from ledgerloom.sources.schema import TRANSACTION_COLUMNS
 
@@ -127,3 +130,20 @@ def test_derived_rows_with_gaps(spark, tmp_path):
     kept = ingest.ingest(plain, canonical="cents")
     stored = sample.silver_transactions(spark, str(tmp_path))
     assert kept.count() == 6 and stored.exceptAll(kept).isEmpty() and kept.exceptAll(stored).isEmpty()
+
+
+def test_stored_layers_leave_no_shuffle_files(spark):
+    def files() -> int:
+        local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle" in local.apply(k).getName() for k in range(local.size()))
+
+    before = files()
+    rows = spark.range(10_000).selectExpr("id % 97 AS k", "id").repartition(4, "k").groupBy("k").agg(F.max("id").alias("top"))
+    layer = materialize(rows, "freed")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert layer.count() == 97 and rows.count() == 97
+    assert spark.conf.get(FREE_KEY) == "false"
