@@ -38,8 +38,9 @@ def write_by_day(
 
     The rebalance hint lets adaptive execution merge thin days and split heavy
     ones into files of the advisory size. Turn it off for input that already
-    arrives in time order, which then needs no shuffle. ``finish`` may add columns
-    to the dated rows where they are written, so that these are not shuffled.
+    arrives in time order, or where a file per task and day costs less than moving
+    all rows: it then needs no shuffle. ``finish`` may add columns to the dated rows
+    where they are written, so that these are not shuffled.
     """
     dated = df.withColumn("day", day_of())
     if rebalance:

@@ -6,6 +6,7 @@ import time
 
 import pytest
 from conftest import records
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import features, ingest, sketches, training
@@ -13,6 +14,7 @@ from ledgerloom.plans import queries
 from ledgerloom.session import FREE_KEY, materialize
 from ledgerloom.sources import sample
 from ledgerloom.sources.schema import TRANSACTION_COLUMNS
+from ledgerloom.sources.writers import day_of, write_by_day
 
 
 def test_sketches_of_any_days(spark, small_dir):
@@ -84,6 +86,26 @@ def test_stored_transactions_hold_no_derived_id(spark, small_dir):
     assert "sha2" not in tx.groupBy("day").count()._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_stored_transactions_are_not_dealt_by_day(spark, small_dir, monkeypatch):
+    """They are written where orders and lines met: the last shuffle behind the files is the one by order."""
+    plans = []
+
+    def write(df, path, rebalance=True, finish=None, codec=None):
+        dated = finish(df.withColumn("day", day_of()))
+        plans.append((dated.hint("rebalance", "day") if rebalance else dated)._jdf.queryExecution().optimizedPlan().toString())
+        write_by_day(df, path, rebalance, finish, codec)
+
+    monkeypatch.setattr(sample, "write_by_day", write)
+    monkeypatch.setattr(sample, "_stored", {})
+    tx = sample.silver_by_day(spark, small_dir)
+    assert len(plans) == 1 and "Rebalance" not in plans[0]
+    held = spark.read.parquet(tx.inputFiles()[0].rsplit("/day=", 1)[0])
+    one = held.withColumns({"file": F.input_file_name(), "place": F.monotonically_increasing_id()})
+    before = F.lag("step").over(Window.partitionBy("file").orderBy("place"))
+    assert one.withColumn("before", before).filter("step < before").isEmpty()
+    assert held.count() == sample.raw_transactions(spark, small_dir).count()
+
+
 def test_derived_rows_with_gaps(spark, tmp_path):
     """Cells of order lines, orders, customers and parts may be null; the columns follow the plain formulas."""
     day = "TIMESTAMP '1997-03-05 00:00:00'"
