@@ -9,7 +9,7 @@ from conftest import records
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import features, ingest, sketches, training
+from ledgerloom.operators import accounts, features, ingest, sketches, training
 from ledgerloom.plans import queries
 from ledgerloom.session import FREE_KEY, materialize
 from ledgerloom.sources import sample
@@ -106,6 +106,29 @@ def test_stored_transactions_are_not_dealt_by_day(spark, small_dir, monkeypatch)
     assert held.count() == sample.raw_transactions(spark, small_dir).count()
 
 
+def _below_joins(df) -> str:
+    """The part of the plan under its topmost join."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan
+    return plan.split("Join", 1)[1]
+
+
+def test_row_ids_do_not_travel_with_mapped_rows(spark, small_dir):
+    """They are worked out behind the joins with the account ids, also where stored edges are read."""
+    tx = sample.silver_transactions(spark, small_dir)
+    mapped = queries._mapped(tx)
+    assert "sha2" not in _below_joins(mapped)
+    plain = accounts.map_accounts(ingest.high_risk(tx), accounts.account_ids(ingest.high_risk(tx)))
+    assert mapped.columns == plain.columns
+    assert mapped.exceptAll(plain).isEmpty() and plain.exceptAll(mapped).isEmpty()
+    edges = queries.edges_layer(spark, small_dir)
+    assert "txn_id" not in spark.read.parquet(*edges.inputFiles()).columns
+    keep = ["txn_id", "nameOrig", "nameDest", "amount"]
+    fresh = accounts.edge_features(plain, keep)
+    assert edges.columns == fresh.columns
+    assert edges.exceptAll(fresh).isEmpty() and fresh.exceptAll(edges).isEmpty()
+
+
 def test_derived_rows_with_gaps(spark, tmp_path):
     """Cells of order lines, orders, customers and parts may be null; the columns follow the plain formulas."""
     day = "TIMESTAMP '1997-03-05 00:00:00'"
