@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from typing import Literal
 
 import numpy as np
 import pyarrow as pa
@@ -144,25 +145,61 @@ def similar_lines(a: bytes, b: bytes, floor: float = SIMILARITY) -> bool:
     most = int((1.0 - floor) * longer + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
+    low = _agreement(a, b, "little")
     a, b = a[low:], b[low:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    high = _agreement(a, b, "big")
+    a, b = a[: len(a) - high], b[: len(b) - high]
     if max(len(a), len(b)) <= most:
         return True
-    return _distance(a, b) <= most
-
-
-def _distance(a: bytes, b: bytes) -> int:
-    """Edit distance by bit-parallel columns: integer bit i stands for place i of ``a``."""
-    if not a or not b:
-        return max(len(a), len(b))
+    # Alike lines differ in a few words, which is seen without working out the distance.
+    return _by_words(a, b, most) <= most or _distance(a, b, most) <= most
+
+
+def _agreement(a: bytes, b: bytes, order: Literal["little", "big"]) -> int:
+    """How many bytes are equal from the start (``little``) or from the end (``big``) on."""
+    n = min(len(a), len(b))
+    heads = (a[:n], b[:n]) if order == "little" else (a[len(a) - n :], b[len(b) - n :])
+    apart = int.from_bytes(heads[0], order) ^ int.from_bytes(heads[1], order)
+    # The lowest bit that differs is in the first byte that does.
+    return ((apart & -apart).bit_length() - 1) // 8 if apart else n
+
+
+# Where words part, how many of either text are replaced before they meet again: the fewest first.
+MEETINGS = sorted(((s, t) for s in range(4) for t in range(4) if s or t), key=lambda m: (max(m), sum(m)))
+
+
+def _by_words(a: bytes, b: bytes, most: float) -> int:
+    """At least the edit distance, of one alignment of words; any number above ``most`` if it is above."""
+    # With a space behind each word, the costs of stretches of words add up.
+    x, y = a.split(b" "), b.split(b" ")
+    i, j, cost = 0, 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        skipped = 1, 1
+        for s, t in MEETINGS:
+            if i + s < len(x) and j + t < len(y) and x[i + s] == y[j + t]:
+                skipped = s, t
+                break
+        s, t = skipped
+        cost += max(sum(map(len, x[i : i + s])) + s, sum(map(len, y[j : j + t])) + t)
+        if cost > most:
+            return cost
+        i, j = i + s, j + t
+    return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j)
+
+
+def _distance(a: bytes, b: bytes, most: float = float("inf")) -> int:
+    """Edit distance, or any number above ``most`` if it is above, by bit-parallel columns: integer bit i stands for place i of ``a``."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
     places: dict[int, int] = {}
     for i, byte in enumerate(a):
         places[byte] = places.get(byte, 0) | 1 << i
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    full, last, left = (1 << len(a)) - 1, 1 << (len(a) - 1), len(b)
     # Where a column rises by one, and where it falls by one.
     rise, fall, distance = full, 0, len(a)
     for byte in b:
@@ -171,6 +208,10 @@ def _distance(a: bytes, b: bytes) -> int:
         up = fall | ~(diagonal | rise) & full
         down = rise & diagonal
         distance += bool(up & last) - bool(down & last)
+        left -= 1
+        # Each column that is left lowers it by one at most.
+        if distance - left > most:
+            break
         up = (up << 1 | 1) & full
         rise = (down << 1 | ~(diagonal | up)) & full
         fall = up & diagonal

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -109,3 +110,39 @@ def test_documents_keep_their_columns(make_docs):
 
 def test_empty_table(make_docs):
     assert lines.dedup_report(make_docs()).count() == 0
+
+
+def test_bounded_distance_stops_early_and_decides_alike():
+    """The shared ends are found without a loop over bytes; a distance beyond the bound is not worked out to its end."""
+    rng = random.Random(3)
+    for _ in range(400):
+        a = bytes(rng.choices(b"abc", k=rng.randint(0, 30)))
+        b = bytearray(a)
+        for _ in range(rng.randint(0, 9)):
+            place = rng.randint(0, len(b))
+            b[place : place + rng.randint(0, 2)] = bytes(rng.choices(b"abc", k=rng.randint(0, 2)))
+        b, true = bytes(b), lines._distance(a, bytes(b))
+        for most in (0, 2, 5):
+            bounded = lines._distance(a, b, most)
+            assert bounded == true if true <= most else bounded > most
+        longer = max(len(a), len(b))
+        assert lines.similar_lines(a, b) == (true <= int((1.0 - lines.SIMILARITY) * longer + 1e-9))
+        low = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        high = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+        assert (lines._agreement(a, b, "little"), lines._agreement(a, b, "big")) == (low, high)
+
+
+def test_alignment_by_words_is_never_below_the_distance():
+    rng = random.Random(5)
+    words = [bytes(rng.choices(b"ab", k=rng.randint(0, 4))) for _ in range(6)]
+    for _ in range(600):
+        a = rng.choices(words, k=rng.randint(0, 9))
+        b = [w for w in a if rng.random() < 0.8] + rng.choices(words, k=rng.randint(0, 3))
+        a, b = b" ".join(a), b" ".join(b)
+        bound = lines._by_words(a, b, float("inf"))
+        assert bound >= distance(a, b)
+        assert (bound == 0) == (a == b)
+        assert (lines._by_words(a, b, 4) <= 4) == (bound <= 4)
+    text = b" ".join(b"word%d" % i for i in range(200))
+    assert lines._by_words(text, text.replace(b"word50 ", b"").replace(b"word90 ", b"other thing "), 99) <= 21
+    assert lines._by_words(b"one two three", b"two one three", 99) == 8
