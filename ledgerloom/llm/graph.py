@@ -33,9 +33,10 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while (state := _state(edges)) != before:
         before = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        upward = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = edges.unionByName(upward)
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = upward.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Every node's own least neighbour is kept; the other links move down to it.
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

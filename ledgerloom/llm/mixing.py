@@ -38,7 +38,7 @@ their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,7 +97,8 @@ def balance(cells: DataFrame, margins: Sequence[tuple[str, DataFrame]]) -> DataF
         moved = 0.0
         for column, targets in margins:
             found = _solve(state, column, targets)
-            moved = max(moved, found.agg(F.max("error")).first()[0] or 0.0)
+            if len(margins) > 1:
+                moved = max(moved, found.agg(F.max("error")).first()[0] or 0.0)
             added = found.select(F.col("_group"), F.col("step"))
             joined = state.join(added, state[column].eqNullSafe(added["_group"]), "left")
             state = cut_lineage(joined.select(*columns, (F.col("multiplier") + F.ifnull("step", F.lit(0.0))).alias("multiplier")))
@@ -141,7 +142,7 @@ def _solve(state: DataFrame, column: str, targets: DataFrame) -> DataFrame:
         F.when(F.col("mass") > target, floor).otherwise(0.0).alias("low"),
         F.when(F.col("mass") > target, F.lit(0.0)).otherwise(F.greatest(top, F.lit(0.0))).alias("high"),
         F.ifnull(fixed, F.lit(0.0)).alias("step"), "mass", "slope",
-        (fixed.isNotNull() | (error <= allowed)).alias("done"),
+        F.ifnull(fixed.isNotNull() | (error <= allowed), F.lit(True)).alias("done"),
     )
     known = cut_lineage(known)
     for _ in range(ROUNDS):
@@ -153,30 +154,34 @@ def _solve(state: DataFrame, column: str, targets: DataFrame) -> DataFrame:
         product = F.col("low") * F.col("high")
         middle = F.when(product > 0, F.signum("low") * F.sqrt(product)).otherwise((F.col("low") + F.col("high")) / 2)
         tried = F.when(F.col("done"), F.col("step")).when(F.ifnull(inside, F.lit(False)), newton).otherwise(middle)
-        known = known.withColumn("step", tried)
-        trial = known.filter(~F.col("done")).select(F.col("_group").alias("_trial"), F.col("step").alias("_step"))
-        now, rise = tokens(F.col("multiplier") + F.col("_step"))
-        sums = wordy.join(trial, wordy[column].eqNullSafe(F.col("_trial"))).groupBy("_trial").agg(now.alias("_mass"), rise.alias("_slope"))
-        sums = sums.withColumn("_known", F.lit(True))
-        seen = known.join(sums, F.col("_group").eqNullSafe(F.col("_trial")), "left")
-        # Solved groups have no trial, so they keep their bounds.
-        above, below = F.col("_mass") > target, F.col("_mass") < target
-        near = F.abs(F.col("_mass") - target) <= allowed
-        tight = F.abs(F.col("high") - F.col("low")) <= 1e-15 * F.abs(F.col("high"))
-        known = cut_lineage(
-            seen.select(
-                "_group", "target", "error",
-                F.when(below, F.col("step")).otherwise(F.col("low")).alias("low"),
-                F.when(above, F.col("step")).otherwise(F.col("high")).alias("high"),
-                "step",
-                F.ifnull("_mass", F.col("mass")).alias("mass"),
-                F.ifnull("_slope", F.col("slope")).alias("slope"),
-                (F.col("done") | F.ifnull(near | tight, F.lit(False))).alias("done"),
-            )
-        )
+        known = cut_lineage(_tried(wordy, column, known.withColumn("step", tried), tokens))
     return known.select("_group", "step", "error")
 
 
+def _tried(wordy: DataFrame, column: str, known: DataFrame, tokens: Callable[[Column], tuple[Column, Column]]) -> DataFrame:
+    """``known`` after a trial of its steps; solved groups stay as they are.
+
+    A group's own columns travel through the sum over its cells, so a round is one join and one aggregate.
+    """
+    group = known.select(F.struct(*known.columns).alias("_known"))
+    joined = wordy.join(group, wordy[column].eqNullSafe(F.col("_known._group")))
+    now, rise = tokens(F.col("multiplier") + F.when(F.col("_known.done"), 0.0).otherwise(F.col("_known.step")))
+    kept = [F.any_value(F.col(f"_known.{c}")).alias(c) for c in known.columns if c != "_group"]
+    seen = joined.groupBy(F.col("_known._group").alias("_group")).agg(now.alias("_mass"), rise.alias("_slope"), *kept)
+    target, solved = F.col("target"), F.col("done")
+    near = F.abs(F.col("_mass") - target) <= F.greatest(target, F.lit(1.0)) * TOLERANCE
+    tight = F.abs(F.col("high") - F.col("low")) <= 1e-15 * F.abs(F.col("high"))
+    return seen.select(
+        "_group", "target", "error",
+        F.when(~solved & (F.col("_mass") < target), F.col("step")).otherwise(F.col("low")).alias("low"),
+        F.when(~solved & (F.col("_mass") > target), F.col("step")).otherwise(F.col("high")).alias("high"),
+        "step",
+        F.when(solved, F.col("mass")).otherwise(F.col("_mass")).alias("mass"),
+        F.when(solved, F.col("slope")).otherwise(F.col("_slope")).alias("slope"),
+        (solved | F.ifnull(near | tight, F.lit(False))).alias("done"),
+    )
+
+
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sized documents, rule per source) for ``docs(doc_id, source, text)``.
 
@@ -244,11 +249,11 @@ def _flip(counted: DataFrame, cuts: DataFrame) -> DataFrame:
     left = F.col("off") - change
     may = ~F.array_contains("flips", F.col("place")) & (F.abs(left) < F.abs(F.col("off")))
     candidate = F.when(may, F.struct("place", left.alias("left")))
-    best = rows.groupBy("_source").agg(F.min_by(candidate, F.when(may, F.struct(F.abs(left), "place"))).alias("best"))
-    chosen = best.select(F.col("_source").alias("_b"), "best")
-    joined = cuts.join(chosen, cuts["_source"].eqNullSafe(F.col("_b")), "left")
+    # What a source has so far travels through the aggregate, which saves a join.
+    kept = [F.any_value(c).alias(c) for c in ("cut", "off", "flips")]
+    best = rows.groupBy("_source").agg(F.min_by(candidate, F.when(may, F.struct(F.abs(left), "place"))).alias("best"), *kept)
     better = F.col("best").isNotNull()
-    return joined.select(
+    return best.select(
         "_source",
         "cut",
         F.when(better, F.col("best.left")).otherwise(F.col("off")).alias("off"),

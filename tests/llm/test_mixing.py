@@ -164,3 +164,17 @@ def test_newton_rakes_several_margins(spark, monkeypatch):
     by = {(r.s, r.l): r.multiplier for r in rows}
     # One multiplier per margin value.
     assert by["a", "x"] + by["b", "y"] == pytest.approx(by["a", "y"] + by["b", "x"])
+
+
+def test_a_round_joins_once(small_docs, monkeypatch):
+    """Each join of few rows is a broadcast of its own, which costs the driver a thread and a page."""
+    joins, cut = [], mixing.cut_lineage
+
+    def counted(df):
+        joins.append(len(re.findall(r"\bJoin\b", df._jdf.queryExecution().optimizedPlan().toString())))
+        return cut(df)
+
+    monkeypatch.setattr(mixing, "cut_lineage", counted)
+    mixing.plan(small_docs)
+    # What the whole copies leave missing needs two joins, once.
+    assert len(joins) > 2 * mixing.FLIPS and sorted(joins)[-2] == 1, joins
