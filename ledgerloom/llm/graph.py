@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import sys
 from collections.abc import Callable, Iterator
 
@@ -18,6 +17,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 8192
+#: Members from which on a bucket is dealt anew into smaller ones, where the caller knows how.
+FINER = 1024
+#: Under which ``close`` finds the bucket of every row.
+BUCKET = "_bucket"
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -70,7 +73,8 @@ def _linked(
 
     def top(i: int) -> int:
         while parent[i] != i:
-            i = parent[i] = parent[parent[i]]
+            parent[i] = parent[parent[i]]
+            i = parent[i]
         return int(i)
 
     rows, step = np.arange(len(group)), 1
@@ -99,6 +103,7 @@ def bucket_links(
     node: str,
     columns: list[str],
     close: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray],
+    finer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(a, b): links that join the members of a bucket as all pairs for which ``close`` holds do.
 
@@ -110,15 +115,18 @@ def bucket_links(
     task. Buckets of up to ``CHUNK`` members are worked through where counting them has
     put them; a larger one is cut into chunks and each pair of chunks is a group of its
     own, so no task holds more than two chunks of one bucket and no pair that fails is
-    ever written.
+    ever written. ``finer`` may deal the members of buckets of more than ``FINER`` into smaller
+    buckets, in which every pair that is linked must meet; only what is large even then is cut.
     """
     names = list(dict.fromkeys([node, *columns]))
     within = Window.partitionBy(bucket)
+    most = min(FINER, CHUNK) if finer else CHUNK
     sized = members.select(bucket, *names).withColumn("_n", F.count(F.lit(1)).over(within)).filter("_n > 1")
-    whole = sized.filter(F.col("_n") <= CHUNK).select(
+    whole = sized.filter(F.col("_n") <= most).select(
         bucket, F.lit(0).alias("_low"), F.lit(0).alias("_high"), F.lit(0).alias("_mine"), *names
     )
-    placed = sized.filter(F.col("_n") > CHUNK).withColumn("_chunks", F.ceil(F.col("_n") / CHUNK).cast("int"))
+    large = sized.filter(F.col("_n") > most)
+    placed = large.withColumn("_chunks", F.ceil(F.col("_n") / CHUNK).cast("int"))
     # A chunk meets itself and every other chunk once.
     met = F.transform(
         F.sequence(F.lit(0), F.col("_chunks") - 1),
@@ -136,6 +144,7 @@ def bucket_links(
         def links_of(table: pa.Table) -> pa.RecordBatch:
             values = {c: table.column(c).to_numpy() if pa.types.is_primitive(table.schema.field(c).type) else np.array(table.column(c).to_pylist(), object) for c in names}
             keys = [table.column(c).to_numpy() for c in group]
+            values[BUCKET] = keys[0]
             changed = np.zeros(len(table), bool)
             for key in keys:
                 changed[1:] |= key[1:] != key[:-1]
@@ -160,12 +169,12 @@ def bucket_links(
         if waiting is not None:
             yield links_of(waiting)
 
+    # The smaller buckets lie sorted after the count, so this sort costs them nothing.
+    links = whole.sortWithinPartitions(bucket).mapInArrow(link, "a long, b long")
+    if finer:
+        return links.unionByName(bucket_links(finer(large.select(bucket, *names)), bucket, node, columns, close))
     dealt = spread.repartition(*[F.col(c) for c in group])
-    return functools.reduce(
-        DataFrame.unionByName,
-        # The smaller buckets lie sorted after the count, so this sort costs them nothing.
-        [part.sortWithinPartitions(*keys).mapInArrow(link, "a long, b long") for part, keys in ((whole, [bucket]), (dealt, group))],
-    )
+    return links.unionByName(dealt.sortWithinPartitions(*group).mapInArrow(link, "a long, b long"))
 
 
 def near_prints(radius: int) -> Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]:

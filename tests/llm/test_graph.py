@@ -61,3 +61,14 @@ def test_bucket_links_of_a_hot_bucket_stay_a_forest(spark, monkeypatch):
     # Three groups of chunks, each with at most two chunks' nodes less one.
     assert links.count() < 2 * 1500
     assert graph.components(links).select("root").distinct().count() == 1
+
+
+def test_joined_trees_lose_no_part():
+    """Many pairs of one step join trees of several levels; all rows stay with what they were joined to."""
+    rng = np.random.default_rng(7)
+    nodes, met = rng.permutation(400), np.zeros((400, 400), bool)
+    for step in (80, 81):
+        rows = np.flatnonzero(rng.random(400 - step) < 0.9)
+        met[rows, rows + step] = True
+    rows, roots = graph._linked({}, np.zeros(400, int), lambda i, j: np.ones(len(i), bool), lambda _, i, j: met[i, j], nodes)
+    assert least_reachable(zip(nodes[rows], nodes[roots])) == least_reachable([(nodes[i], nodes[j]) for i, j in zip(*np.nonzero(met))])
