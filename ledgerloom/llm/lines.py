@@ -9,7 +9,7 @@ in at most ``RADIUS`` (3) of 64 bits agree in at least two of ``BLOCKS`` (5) blo
 classes meet on every pair of blocks. Classes linked that way form candidate groups;
 only their members' texts are fetched, and within a group lines are linked if their
 fingerprints are close and their edit similarity, 1 - distance / longer length, is at
-least ``SIMILARITY`` (0.8). Of each connected group the first occurrence (by document
+least ``SIMILARITY`` (0.8). Large groups are compared by pairs of blocks again. Of each connected group the first occurrence (by document
 id, then line number) in the whole table is kept, all others go.
 
 Defined cases: null text is a document without lines; rows that repeat an id are
@@ -20,7 +20,7 @@ come last.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Literal
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.graph import bucket_links, components, near_prints
+from ledgerloom.llm.graph import BUCKET, bucket_links, components, near_prints
 from ledgerloom.llm.tables import BROADCAST_ROWS
 from ledgerloom.llm.text import LOWER, Piece, find_words, hash_spans, majority_bits, members, pieces, squeeze
 from ledgerloom.session import materialize
@@ -39,6 +39,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 RADIUS, SIMILARITY = 3, 0.8
 #: Bits of the five blocks.
 BLOCKS = (13, 13, 13, 13, 12)
+#: Bits of a part of what is beside two blocks, at most 39 bits.
+PART = 10
+#: Numbers of buckets of parts begin with this bit; those of pairs are smaller.
+FIRST_PARTS = 26 + PART + 2
+#: Classes that a candidate group may have to be compared as a whole.
+GROUP = 256
+#: Classes of bytes whose counts are compared first, and how many pairs at a time.
+LETTERS, SLICE = 32, 1 << 14
 #: Words are runs of ASCII letters and of anything beyond ASCII.
 WORD = members([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
@@ -121,22 +129,64 @@ def line_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def block_pairs(prints: DataFrame) -> DataFrame:
-    """(bucket, print): every distinct fingerprint once for each pair of its blocks."""
+def _dealt(members: DataFrame, buckets: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> DataFrame:
+    """``members`` once for each array of ``buckets`` of a batch, which becomes its column ``bucket``."""
+    names = [c for c in members.columns if c != "bucket"]
+    kinds = [f"`{c}` {members.schema[c].dataType.simpleString()}" for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column("print").to_numpy().view(np.uint64)
-            shift, parts = 0, []
-            for bits in BLOCKS:
-                parts.append((values >> np.uint64(shift)) & np.uint64((1 << bits) - 1))
-                shift += bits
-            for i in range(len(BLOCKS)):
-                for j in range(i + 1, len(BLOCKS)):
-                    bucket = np.uint64((i * len(BLOCKS) + j) << 26) | (parts[i] << np.uint64(13)) | parts[j]
-                    yield pa.record_batch({"bucket": pa.array(bucket.view(np.int64)), "print": batch.column("print")})
+            for bucket in buckets(batch):
+                yield pa.record_batch({"bucket": pa.array(bucket.view(np.int64)), **{c: batch.column(c) for c in names}})
 
-    return prints.mapInArrow(run, "bucket long, print long")
+    return members.mapInArrow(run, ", ".join(["bucket long", *kinds]))
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """``bucket`` and the columns of ``members``: every row once for each pair of the blocks of its ``print``."""
+
+    def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        values = batch.column("print").to_numpy().view(np.uint64)
+        shift, parts = 0, []
+        for bits in BLOCKS:
+            parts.append((values >> np.uint64(shift)) & np.uint64((1 << bits) - 1))
+            shift += bits
+        for i in range(len(BLOCKS)):
+            for j in range(i + 1, len(BLOCKS)):
+                yield np.uint64((i * len(BLOCKS) + j) << 26) | (parts[i] << np.uint64(13)) | parts[j]
+
+    return _dealt(members, buckets)
+
+
+def beside_blocks(kind: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The bits of ``values`` beside their pair of blocks, ``kind``."""
+    places, rest = np.cumsum([0, *BLOCKS[:-1]]), np.zeros(len(values), np.uint64)
+    for i in range(len(BLOCKS)):
+        for j in range(i + 1, len(BLOCKS)):
+            mine, shift = np.flatnonzero(kind == i * len(BLOCKS) + j), 0
+            for block in sorted(set(range(len(BLOCKS))) - {i, j}):
+                bits = (values[mine] >> np.uint64(places[block])) & np.uint64((1 << BLOCKS[block]) - 1)
+                rest[mine] |= bits << np.uint64(shift)
+                shift += BLOCKS[block]
+    return rest
+
+
+def block_parts(members: DataFrame) -> DataFrame:
+    """Rows of ``block_pairs`` dealt into smaller buckets: every row once for each part of its other blocks.
+
+    The bits beside a pair of blocks are cut into ``RADIUS`` + 1 parts, so of two fingerprints that meet in a
+    pair and differ in at most ``RADIUS`` bits some part is equal.
+    """
+
+    def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        values = batch.column("print").to_numpy().view(np.uint64)
+        pair = batch.column("bucket").to_numpy().view(np.uint64)
+        rest = beside_blocks((pair >> np.uint64(26)).astype(np.int64), values)
+        for part in range(RADIUS + 1):
+            value = (rest >> np.uint64(part * PART)) & np.uint64((1 << PART) - 1)
+            yield (pair << np.uint64(PART + 2)) | np.uint64(part << PART) | value
+
+    return _dealt(members, buckets)
 
 
 def similar_lines(a: bytes, b: bytes, floor: float = SIMILARITY) -> bool:
@@ -218,31 +268,97 @@ def _distance(a: bytes, b: bytes, most: float = float("inf")) -> int:
     return distance
 
 
+def letter_counts(texts: np.ndarray) -> np.ndarray:
+    """How often each text has each of ``LETTERS`` classes of bytes."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    letters = np.frombuffer(b"".join(texts), np.uint8) % LETTERS
+    cells = np.repeat(np.arange(len(texts)) * LETTERS, sizes) + letters
+    return np.bincount(cells, minlength=len(texts) * LETTERS).reshape(-1, LETTERS).astype(np.int32)
+
+
+def may_be_similar(counts: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """False for pairs of texts that cannot be similar: letters of one that the other lacks cost an edit each."""
+    good = np.zeros(len(left), bool)
+    for start in range(0, len(left), SLICE):
+        a, b = counts[left[start : start + SLICE]], counts[right[start : start + SLICE]]
+        apart = np.maximum(np.maximum(a - b, 0).sum(axis=1), np.maximum(b - a, 0).sum(axis=1))
+        longer = np.maximum(a.sum(axis=1), b.sum(axis=1))
+        good[start : start + SLICE] = apart <= ((1.0 - SIMILARITY) * longer + 1e-9).astype(np.int64)
+    return good
+
+
+def first_meeting(bucket: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether pairs of fingerprints that differ in the bits ``apart`` meet in this bucket of ``block_pairs`` or
+    ``block_parts`` first, of all buckets they share: pairs of blocks are in order, and so are parts."""
+    parts = bucket >= 1 << FIRST_PARTS
+    kind = np.where(parts, bucket >> (PART + 2), bucket) >> 26
+    seen, first, second, shift = np.zeros(len(apart), np.int64), np.zeros(len(apart), np.int64), np.zeros(len(apart), np.int64), 0
+    for block, bits in enumerate(BLOCKS):
+        same = (apart >> np.uint64(shift)) & np.uint64((1 << bits) - 1) == 0
+        seen += same
+        first[same & (seen == 1)] = block
+        second[same & (seen == 2)] = block
+        shift += bits
+    good = kind == first * len(BLOCKS) + second
+    rest = beside_blocks(kind, apart)
+    part = (bucket >> PART) & 3
+    for earlier in range(RADIUS):
+        equal = (rest >> np.uint64(earlier * PART)) & np.uint64((1 << PART) - 1) == 0
+        good &= ~parts | (part <= earlier) | ~equal
+    return good
+
+
 def close_lines(values: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Close fingerprints and similar texts."""
-    good = near_prints(RADIUS)(values, left, right)
-    texts = values["normal"]
+    good, texts = near_prints(RADIUS)(values, left, right), values["normal"]
+    near = np.flatnonzero(good)
+    if len(near):
+        # Counted once for all pairs of these rows.
+        if "letters" not in values:
+            values["letters"] = letter_counts(texts)
+        good[near] = may_be_similar(values["letters"], left[near], right[near])
     for place in np.flatnonzero(good).tolist():
         good[place] = similar_lines(texts[left[place]], texts[right[place]])
     return good
 
 
+def close_lines_once(values: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``close_lines`` in buckets of ``block_pairs``, each pair only where it meets first."""
+    prints = values["print"].view(np.uint64)
+    apart = prints[left] ^ prints[right]
+    good = np.bitwise_count(apart) <= RADIUS
+    near = np.flatnonzero(good)
+    good[near] = first_meeting(values[BUCKET][left[near]], apart[near])
+    near = np.flatnonzero(good)
+    good[near] = close_lines(values, left[near], right[near])
+    return good
+
+
 def line_groups(table: DataFrame) -> DataFrame:
-    """(key, root) for every class that is linked to another; ``table`` is a stored line table."""
+    """(key, root) for every class that is linked to another; ``table`` is a stored line table.
+
+    Chains of close fingerprints grow into groups much faster than the table does. So a group of more than ``GROUP``
+    classes is not compared as a whole: its members meet again on the pairs of blocks, with their texts.
+    """
     classes = table.filter("key is not null").groupBy("key").agg(F.min("print").alias("print"))
     classes = materialize(classes, "classes")
-    close = components(bucket_links(block_pairs(classes.select("print").distinct()), "bucket", "print", ["print"], near_prints(RADIUS)))
+    prints = block_pairs(classes.select("print").distinct())
+    close = components(bucket_links(prints, "bucket", "print", ["print"], near_prints(RADIUS), block_parts))
     grouped = classes.join(close.withColumnRenamed("node", "print"), "print", "left")
     grouped = grouped.select("key", F.ifnull("root", "print").alias("bucket"))
-    several = grouped.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    candidates = materialize(grouped.join(several, "bucket"), "candidates")
+    several = grouped.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    candidates = materialize(grouped.join(several.select("bucket", (F.col("n") > GROUP).alias("large")), "bucket"), "candidates")
     # Texts of candidate classes only; their keys are broadcast if they are counted to be few.
     few = candidates.count() <= BROADCAST_ROWS
     wanted = table.filter("normal is not null").select("key", "print", "normal").join(
         F.broadcast(candidates) if few else candidates, "key"
     )
-    texts = wanted.groupBy("bucket", "key").agg(F.min("print").alias("print"), F.min("normal").alias("normal"))
-    links = bucket_links(texts, "bucket", "key", ["print", "normal"], close_lines)
+    texts = wanted.groupBy("bucket", "large", "key").agg(F.min("print").alias("print"), F.min("normal").alias("normal"))
+    texts = materialize(texts, "candidate_texts", "zstd")
+    held = ["print", "normal"]
+    small = bucket_links(texts.filter("not large").drop("large"), "bucket", "key", held, close_lines)
+    dealt = block_pairs(texts.filter("large").select("key", *held))
+    links = small.unionByName(bucket_links(dealt, "bucket", "key", held, close_lines_once, block_parts))
     return components(links).select(F.col("node").alias("key"), "root")
 
 

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ledgerloom.llm import graph as lines_graph
 from ledgerloom.llm import lines
 from ledgerloom.llm.text import hash_spans, majority_bits
 
@@ -146,3 +147,60 @@ def test_alignment_by_words_is_never_below_the_distance():
     text = b" ".join(b"word%d" % i for i in range(200))
     assert lines._by_words(text, text.replace(b"word50 ", b"").replace(b"word90 ", b"other thing "), 99) <= 21
     assert lines._by_words(b"one two three", b"two one three", 99) == 8
+
+
+def test_large_groups_are_compared_by_blocks(spark, monkeypatch):
+    """Chained fingerprints make one candidate group of many classes; no bucket of texts may hold it all."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(12)]
+    rows = [(i, " ".join([*words, *rng.sample(words, 3)])) for i in range(60)] + [(60 + i, " ".join(rng.sample(words, 8))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    expected, sizes, linked = reference(rows), [], lines.bucket_links
+
+    def counted(members, bucket, *rest):
+        if "normal" in members.columns:
+            sizes.extend(r["count"] for r in members.groupBy(bucket).count().collect())
+        return linked(members, bucket, *rest)
+
+    monkeypatch.setattr(lines, "GROUP", 2)
+    monkeypatch.setattr(lines, "bucket_links", counted)
+    for finer in (1024, 3):
+        monkeypatch.setattr(lines_graph, "FINER", finer)
+        found = [(r.doc_id, r.n_lines, r.n_kept, list(r.dropped)) for r in lines.dedup_report(docs).collect()]
+        assert sorted(found, key=str) == expected
+    assert any(f[3] for f in expected) and max(sizes) < 60
+
+
+def test_parts_keep_close_prints_together(spark):
+    """Two fingerprints within the radius that share a pair of blocks share a finer bucket too."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(200):
+        one = rng.getrandbits(64)
+        other = one
+        for bit in rng.sample(range(64), lines.RADIUS):
+            other ^= 1 << bit
+        rows += [(i, v - (1 << 64) if v >> 63 else v) for v in (one, other)]
+    pairs = lines.block_pairs(spark.createDataFrame(rows, "pair long, print long"))
+    met = {(r.pair, r.bucket) for r in pairs.groupBy("pair", "bucket").count().filter("count = 2").collect()}
+    parts = lines.block_parts(pairs).groupBy("pair", "bucket").count().filter("count = 2").collect()
+    assert {p for p, _ in met} == set(range(200))
+    # The pair of blocks leads the number of the finer bucket.
+    assert met == {(r.pair, r.bucket >> (lines.PART + 2)) for r in parts}
+    ends = {i: np.array([v], np.int64).view(np.uint64) for i, v in rows[::2]}
+    others = {i: np.array([v], np.int64).view(np.uint64) for i, v in rows[1::2]}
+    for shared in (met, {(r.pair, r.bucket) for r in parts}):
+        first = [i for i, b in shared if lines.first_meeting(np.array([b]), ends[i] ^ others[i])[0]]
+        assert len(first) >= 200 and set(first) == set(range(200))
+        assert shared is not met or len(first) == 200
+    last = [(i, b) for i, b in {(r.pair, r.bucket) for r in parts} if lines.first_meeting(np.array([b]), ends[i] ^ others[i])[0]]
+    assert len(last) == 200
+
+
+def test_letters_never_reject_similar_texts():
+    rng = random.Random(17)
+    texts = [bytes(rng.choices(b"abcd \xc3\xa9", k=rng.randint(1, 12))) for _ in range(60)]
+    left, right = map(np.array, zip(*[(i, j) for i in range(60) for j in range(60)]))
+    may = lines.may_be_similar(lines.letter_counts(np.array(texts, object)), left, right)
+    similar = np.array([lines.similar_lines(texts[i], texts[j]) for i, j in zip(left, right)])
+    assert not (similar & ~may).any() and not may.all()
