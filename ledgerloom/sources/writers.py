@@ -73,8 +73,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_json(df: DataFrame, path: str, codec: str | None = None) -> None:
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path, compression=codec)
 
 
 def write_ragged_csv(df: DataFrame, path: str) -> None:
