@@ -6,6 +6,7 @@ from conftest import records
 from pyspark.sql import functions as F
 
 from ledgerloom.config import Split
+from ledgerloom.functions.expressions import row_digest
 from ledgerloom.functions.splits import proportional_bounds, split_flags, split_frames
 from ledgerloom.operators import features, ingest, training
 from ledgerloom.operators.pagerank import ranks_on_transactions
@@ -95,3 +96,15 @@ def test_class_weight(make_tx, labels, weight):
     assert {r["class_weight"] for r in rows if r["isFraud"] == 0 or r["step"] == 700} == {1.0}
     counts = {r.isFraud: r.n for r in training.class_counts(tx).collect()}
     assert sum(counts.values()) == len(labels) + 1
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_training_rows_with_ids_worked_out_behind_the_joins(spark, hub, copies):
+    tx = hub if copies == 1 else hub.unionByName(hub)
+    ranks = spark.createDataFrame([("A", 0.4), ("D1", 0.1)], "id STRING, pagerank DOUBLE")
+    moved, behind = training.training_rows(tx, ranks), training.training_rows(tx, ranks, row_digest())
+    assert behind.columns == moved.columns and behind.count() == 13 * copies
+    assert sorted(map(str, behind.collect())) == sorted(map(str, moved.collect()))
+    # Nothing is left to be joined or moved when the rows are read.
+    plan = behind._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

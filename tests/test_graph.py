@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from conftest import pairs, records
 from pyspark.sql import functions as F
@@ -105,3 +107,12 @@ def test_training_edges_stop_at_the_bound(spark):
     assert [r.dst for r in pagerank.training_edges(edges, 480).collect()] == ["B"]
     trace = pagerank.convergence_trace(edges, pagerank.RankResult(edges, [(1, 0.5)], 2))
     assert trace.select(F.round("l1_delta", 2)).first()[0] == 0.5
+
+
+def test_only_the_last_round_stays(spark, example, monkeypatch):
+    """Every round is a table of its own, and the one before is gone once it is written."""
+    written, store = [], pagerank.store
+    monkeypatch.setattr(pagerank, "store", lambda df, path, codec: written.append(path) or store(df, path, codec))
+    result = pagerank.rank_accounts(example, max_rounds=4)
+    folders = [path.removeprefix("file:") for path in written]
+    assert [os.path.isdir(f) for f in folders] == [False, False, False, True] and result.ranks.count() == 5
