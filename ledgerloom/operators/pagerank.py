@@ -180,9 +180,14 @@ def convergence_trace(edge_table: DataFrame, result: RankResult) -> DataFrame:
 
 
 def ranks_on_transactions(tx: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Sender and receiver rank per transaction; unranked accounts get 0.0."""
+    """Sender and receiver rank per transaction; unranked accounts get 0.0.
+
+    The rows behind the first join are stored, so its shuffles are gone before the second.
+    """
     named = tx.select(packed_id("txn_id"), "nameOrig", "nameDest")
     for account, column in (("nameOrig", "src_pagerank"), ("nameDest", "dst_pagerank")):
         side = ranks.select(F.col("id").alias(account), F.col("pagerank").alias(column))
-        named = named.join(side, account, "left")
+        named = named.join(side, account, "left").drop(account)
+        if account == "nameOrig":
+            named = materialize(named, "sender_ranks", CODEC)
     return named.select(unpacked_id("txn_id"), "src_pagerank", "dst_pagerank").fillna(0.0)
