@@ -108,3 +108,12 @@ def test_training_rows_with_ids_worked_out_behind_the_joins(spark, hub, copies):
     # Nothing is left to be joined or moved when the rows are read.
     plan = behind._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("operator", ["degree", "rank"])
+def test_each_side_is_joined_on_its_own(spark, hub, operator):
+    """The rows behind the sender's join are stored, so reading the result joins one side only."""
+    ranks = spark.createDataFrame([("A", 0.4), ("D1", 0.1)], "id STRING, pagerank DOUBLE")
+    found = features.degree_features(hub) if operator == "degree" else ranks_on_transactions(hub, ranks)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and found.count() == 13
