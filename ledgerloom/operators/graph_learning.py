@@ -1,6 +1,6 @@
 """Training of the two-layer edge scorer: full-graph gradients as joins and aggregations.
 
-An epoch is one Spark job over the whole graph. Forward, a layer is the mean over incoming edges
+An epoch is a pass over the whole graph, in a few jobs. Forward, a layer is the mean over incoming edges
 and a matrix product per Arrow batch. Backward, what a node's mean contributed to the loss is sent
 back along the reversed edges and summed per sender. The weights' gradients are sums over rows:
 each task adds up its own, ``MERGERS`` tasks add up the tasks', and the driver reads those few rows
@@ -20,14 +20,14 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.expressions import sigmoid
 from ledgerloom.operators.metrics import best_threshold, threshold_sweep
 from ledgerloom.operators.neighbors import EdgeScorer, neighbor_mean, score_edges
-from ledgerloom.session import materialize
+from ledgerloom.session import discard, materialize, scratch_path, shuffles_freed, store
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,6 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ALPHA, GAMMA = 0.75, 2.0
 RATE, DECAY = 0.005, 1e-4
 MERGERS = 16
+CODEC = "zstd"
 
 
 def shapes(node_width: int, edge_width: int, hidden: int) -> list[tuple[int, ...]]:
@@ -137,7 +138,12 @@ def _layer(df: DataFrame, fn, mean: Sequence[str], own: Sequence[str], outputs:
 
 
 def loss_and_gradient(graph: TrainingGraph, scorer: EdgeScorer) -> tuple[float, np.ndarray]:
-    """Mean focal loss of the training edges and its gradient by all weights, in one job."""
+    """Mean focal loss of the training edges and its gradient by all weights.
+
+    What a step hands to the next is stored and goes with the epoch, so no epoch leaves files behind.
+    """
+    spark = graph.nodes.sparkSession
+    path = scratch_path(spark, "epoch")
     width, columns = scorer.hidden, list(graph.node_columns)
     g, m, h, d, back = (_names(p, width) for p in "gmhdb")
     sizes = np.cumsum([w.size for w in weights_of(scorer)])
@@ -147,7 +153,8 @@ def loss_and_gradient(graph: TrainingGraph, scorer: EdgeScorer) -> tuple[float,
     # Forward: both layers.
     first = _layer(graph.nodes, scorer.layer_1, [f"mean_{c}" for c in columns], columns, g, ["heard"])
     heard = neighbor_mean(first, graph.messages, g, "m_").withColumnsRenamed({f"m_{c}": k for c, k in zip(g, m)})
-    second = _layer(heard, scorer.layer_2, m, g, h, ["heard", *g, *m]).persist(StorageLevel.MEMORY_AND_DISK)
+    second = _layer(heard, scorer.layer_2, m, g, h, ["heard", *g, *m])
+    second = store(second, f"{path}/second", CODEC)
     joined = graph.edges
     for end in ("src", "dst"):
         joined = joined.join(second.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in h]), end)
@@ -169,7 +176,7 @@ def loss_and_gradient(graph: TrainingGraph, scorer: EdgeScorer) -> tuple[float,
         np.add.at(sums, place, np.concatenate([ends[:, :width], ends[:, width : 2 * width]]))
         return known, sums, gradient
 
-    edge_rows = _rows_and_sums(joined, edge_step, d).persist(StorageLevel.MEMORY_AND_DISK)
+    edge_rows = store(_rows_and_sums(joined, edge_step, d), f"{path}/edge_rows", CODEC)
     arrived = edge_rows.filter("id is not null").groupBy("id").agg(*[F.sum(c).alias(c) for c in d])
 
     def node_step(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +188,7 @@ def loss_and_gradient(graph: TrainingGraph, scorer: EdgeScorer) -> tuple[float,
         sent = (below @ scorer.neighbor_2) / _matrix(batch, ["heard"])
         return batch.column("id").to_numpy(), np.concatenate([sent, below @ scorer.own_2], axis=1), gradient
 
-    node_rows = _rows_and_sums(second.join(arrived, "id"), node_step, [*back, *d]).persist(StorageLevel.MEMORY_AND_DISK)
+    node_rows = store(_rows_and_sums(second.join(arrived, "id"), node_step, [*back, *d]), f"{path}/node_rows", CODEC)
     # Along the reversed edges: every sender gets its share of what its hearers got.
     known = node_rows.filter("id is not null")
     returned = graph.messages.join(known.select(F.col("id").alias("dst"), *back), "dst").groupBy(F.col("src").alias("id"))
@@ -205,12 +212,10 @@ def loss_and_gradient(graph: TrainingGraph, scorer: EdgeScorer) -> tuple[float,
                 summed += np.frombuffer(part)
         yield pa.record_batch({"gradient": pa.array([summed.tobytes()], pa.binary())})
 
-    try:
-        gathered = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(MERGERS)
+    gathered = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(MERGERS)
+    with shuffles_freed(spark):
         rows = gathered.mapInArrow(add, "gradient binary").collect()
-    finally:
-        for kept in (second, edge_rows, node_rows):
-            kept.unpersist()
+    discard(spark, path)
     summed = np.sum([np.frombuffer(r["gradient"]) for r in rows], axis=0)
     return float(summed[total]), summed[:total]
 
@@ -241,9 +246,10 @@ class SageModel:
     threshold: float
     losses: tuple[float, ...]
 
-    def probabilities(self, edges: DataFrame, nodes: DataFrame, node_columns: Sequence[str], edge_columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
-        """``keep`` and the probability ``p`` of every edge; all ``edges`` are heard."""
-        scored = score_edges(edges, nodes, node_columns, edge_columns, self.scorer, keep)
+    def probabilities(self, edges: DataFrame, nodes: DataFrame, node_columns: Sequence[str], edge_columns: Sequence[str], keep: Sequence[str], split: str | None = None) -> DataFrame:
+        """``keep`` and the probability ``p`` of every edge, or of those of ``split``; all ``edges`` are heard."""
+        asked = edges if split is None else edges.filter(F.col("split") == split)
+        scored = score_edges(asked, nodes, node_columns, edge_columns, self.scorer, keep, messages=edges)
         return scored.withColumn("p", sigmoid(F.col("logit")))
 
 
@@ -272,8 +278,9 @@ def fit_sage(
         if epoch % every and epoch < epochs:
             continue
         model = SageModel(unflat(weights, scorer), 0.5, tuple(losses))
-        scored = model.probabilities(edges, nodes, node_columns, edge_columns, ["split", "isFraud"])
-        chosen = best_threshold(threshold_sweep(scored.filter(F.col("split") == "val"))).first()
+        scored = model.probabilities(edges, nodes, node_columns, edge_columns, ["split", "isFraud"], "val")
+        with shuffles_freed(edges.sparkSession):
+            chosen = best_threshold(threshold_sweep(scored)).first()
         f1, threshold = (chosen["f1"], chosen["threshold"]) if chosen else (0.0, 0.5)
         if best is None or f1 > best[0]:
             best, waited = (f1, SageModel(model.scorer, threshold, tuple(losses))), 0
@@ -286,5 +293,5 @@ def fit_sage(
 
 def sage_report(model: SageModel, edges: DataFrame, nodes: DataFrame, node_columns: Sequence[str], edge_columns: Sequence[str]) -> DataFrame:
     """(split, isFraud, p) of the test edges."""
-    scored = model.probabilities(edges, nodes, node_columns, edge_columns, ["split", "isFraud"])
-    return scored.filter(F.col("split") == "test").select("split", "isFraud", "p")
+    scored = model.probabilities(edges, nodes, node_columns, edge_columns, ["split", "isFraud"], "test")
+    return scored.select("split", "isFraud", "p")

@@ -114,3 +114,25 @@ def test_no_training_edges(spark):
     nodes, edges = frames(spark, *toy(1))
     model = gl.fit_sage(edges.withColumn("split", F.lit("test")), nodes, NODES, EDGES, hidden=2, epochs=1)
     assert model.losses == (0.0,) and gl.sage_report(model, edges, nodes, NODES, EDGES).count() == 0
+
+
+def test_an_epoch_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    """What the steps of an epoch hand on is stored, not kept by the session, and goes with the epoch."""
+    nodes, edges = frames(spark, *toy(5))
+    graph = gl.TrainingGraph.store(nodes, edges, NODES, EDGES)
+    monkeypatch.setattr(gl, "scratch_path", lambda *_: str(tmp_path / "epoch"))
+    written, store = [], gl.store
+    monkeypatch.setattr(gl, "store", lambda df, path, codec: written.append(path) or store(df, path, codec))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    gl.loss_and_gradient(graph, gl.initial_scorer(len(NODES), len(EDGES), 4, seed=2))
+    assert len(written) == 3 and not (tmp_path / "epoch").exists()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def test_only_the_asked_split_is_scored(spark):
+    x, src, dst, e, y = toy(6)
+    nodes, edges = frames(spark, x, src, dst, e, y, [("train", "val", "test")[i % 3] for i in range(len(y))])
+    model = gl.SageModel(gl.initial_scorer(len(NODES), len(EDGES), 4, seed=3), 0.5, ())
+    some = model.probabilities(edges, nodes, NODES, EDGES, ["split", "isFraud"], "val").collect()
+    every = model.probabilities(edges, nodes, NODES, EDGES, ["split", "isFraud"]).filter("split = 'val'").collect()
+    assert len(some) == 13 and sorted(r.p for r in some) == pytest.approx(sorted(r.p for r in every), abs=1e-12)
